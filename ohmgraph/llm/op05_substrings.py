@@ -30,7 +30,8 @@ def _windows(length: int):
         for rb, data, offs in C.blocks(batches):
             doc, t = C.ints(rb, "doc"), C.ints(rb, "t")
             u, first = R.units_of(data, offs, True)
-            d, s, n, k, _ = R.expanded(rb, first)
+            d, s, n, k, hot = R.expanded(rb, first)
+            k = np.where(hot, 0, k)  # a hot anchor's runs come under several keys
             at, d, k = C.spread(s, n), np.repeat(d, n), np.repeat(k, n)
             w = C.Rolling(u).at(at, at + length)
             at = at - first[d]
