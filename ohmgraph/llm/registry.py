@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import op03_suffixes as op3
+from . import op04_bpe as op4
 from . import op05_substrings as op5
 
 QUERIES = {
     "op3_suffix_array_dedup": op3.op3_suffix_array_dedup,
+    "op4_byte_bpe": op4.op4_byte_bpe,
     "op5_substring_dedup": op5.op5_substring_dedup,
 }
 
