@@ -26,38 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-#: Results that each of the two memories of a worker holds; a full one is emptied.
-REMEMBERED = 400_000
+#: Results that a generation of each of a worker's two memories holds.
+REMEMBERED = 300_000
 
 
-class RankQueue:
-    """Positions by rank; pop() gives the leftmost position of the lowest rank."""
+class Memory:
+    """The latest results by key, in two generations of a fixed size each."""
 
     def __init__(self) -> None:
-        self.top, self.leaf, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        high = rank >> 8
-        self.top |= 1 << high
-        self.leaf[high] = self.leaf.get(high, 0) | 1 << (rank & 255)
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.leaf[high]
-        low = (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank := high << 8 | low]
-        position = heappop(bucket)
-        if not bucket:
-            bits ^= 1 << low
-            self.leaf[high] = bits
-            if not bits:
-                self.top ^= 1 << high
-        return rank, position
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[key] = ids
+        return ids
 
 
 class Bpe:
@@ -68,25 +52,47 @@ class Bpe:
         self.vocab = {b: a for a, b in self.ranks.items()}
         self.digits = {i: str(i) for i in self.vocab}
         self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.pieces, self.tokens = Memory(), Memory()
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.
+
+        The queue: buckets[rank] is a heap of positions; leaf[high] has a bit for each occupied rank of 256, top one
+        for each occupied leaf.
+        """
         rank_of = self.ranks.get
         if (whole := rank_of(raw)) is not None:
             return (whole,)
         n = len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        pair: list[int | None] = [None] * (n + 1)
-        queue = RankQueue()
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            if (r := rank_of(raw[i : i + 2])) is not None:
-                pair[i] = r
-                push(r, i)
-        while queue.top:
-            rank, i = pop()
+        pair = [rank_of(raw[i : i + 2]) for i in range(n - 1)]
+        buckets: dict[int, list[int]] = {}
+        leaf: dict[int, int] = {}
+        top = 0
+        for i, r in enumerate(pair):
+            if r is not None:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    high = r >> 8
+                    leaf[high] = leaf.get(high, 0) | 1 << (r & 255)
+                    top |= 1 << high
+        pair += (None, None)
+        while top:
+            high = (top & -top).bit_length() - 1
+            bits = leaf[high]
+            first = bits & -bits
+            rank = (high << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                if bits == first:
+                    del leaf[high]
+                    top ^= 1 << high
+                else:
+                    leaf[high] = bits ^ first
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
@@ -94,43 +100,48 @@ class Bpe:
             pair[j] = None
             after[i] = end
             before[end] = i
-            pair[i] = None
-            if end < n and (r := rank_of(raw[i : after[end]])) is not None:
-                pair[i] = r
-                push(r, i)
-            if (p := before[i]) >= 0:
+            p = before[i]
+            pair[i] = r = rank_of(raw[i : after[end]]) if end < n else None
+            fresh = [(r, i)] if r is not None else []
+            if p >= 0:
                 pair[p] = r = rank_of(raw[p:end])
                 if r is not None:
-                    push(r, p)
-        out, i = [], 0
+                    fresh.append((r, p))
+            for r, i in fresh:
+                if r in buckets:
+                    heappush(buckets[r], i)
+                else:
+                    buckets[r] = [i]
+                    high = r >> 8
+                    leaf[high] = leaf.get(high, 0) | 1 << (r & 255)
+                    top |= 1 << high
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(self.ranks[raw[i : after[i]]])
+            out.append(ranks[raw[i : after[i]]])
             i = after[i]
         return tuple(out)
 
     def _token(self, token: str) -> tuple[int, ...]:
-        ids = self.tokens.get(token)
+        ids = self.tokens.young.get(token)
         if ids is None:
-            ids = self.merge(token.encode())
+            raw = token.encode()
+            if (r := self.ranks.get(raw)) is not None:
+                return (r,)
+            ids = self.tokens.old.get(token) or self.merge(raw)
             if len(token) <= 64:
-                if len(self.tokens) >= REMEMBERED:
-                    self.tokens.clear()
-                self.tokens[token] = ids
+                self.tokens.keep(token, ids)
         return ids
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self._token, self.find(piece))))
-        if len(piece) <= 64:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        ids = self.pieces.old.get(piece)
+        if ids is None:
+            ids = tuple(chain.from_iterable(map(self._token, self.find(piece))))
+        return self.pieces.keep(piece, ids) if len(piece) <= 64 else ids
 
     def encode(self, text: str) -> list[int]:
-        known = self.pieces.get
         out: list[Iterable[int]] = []
         for piece in self._cut(text):
-            ids = known(piece)
+            ids = self.pieces.young.get(piece)
             out.append(self._piece(piece) if ids is None else ids)
         return list(chain.from_iterable(out))
 
@@ -138,6 +149,9 @@ class Bpe:
     def _cut(text: str) -> list[str]:
         """text in pieces, cut before each space that stands between two characters other than white space."""
         parts = text.split(" ")
+        if min(map(len, parts[1:]), default=1) and text.isprintable():  # no white space but single spaces inside
+            if parts[0] and parts[-1]:
+                return [parts[0], *map(" ".__add__, parts[1:])]
         out = [parts[0]]
         clean = bool(parts[0]) and not parts[0][-1].isspace()
         for x in parts[1:]:
