@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import op01_sharding as op1
 from . import op03_suffixes as op3
 from . import op04_bpe as op4
 from . import op05_substrings as op5
+from . import op07_quality as op7
 
 QUERIES = {
+    "op1_rendezvous_sharding": op1.op1_rendezvous_sharding,
     "op3_suffix_array_dedup": op3.op3_suffix_array_dedup,
     "op4_byte_bpe": op4.op4_byte_bpe,
     "op5_substring_dedup": op5.op5_substring_dedup,
+    "op7_quality_rules": op7.op7_quality_rules,
 }
 
 ORACLES = {
