@@ -7,6 +7,7 @@ from . import op03_suffixes as op3
 from . import op04_bpe as op4
 from . import op05_substrings as op5
 from . import op07_quality as op7
+from . import op09_minhash as op9
 
 QUERIES = {
     "op1_rendezvous_sharding": op1.op1_rendezvous_sharding,
@@ -14,8 +15,10 @@ QUERIES = {
     "op4_byte_bpe": op4.op4_byte_bpe,
     "op5_substring_dedup": op5.op5_substring_dedup,
     "op7_quality_rules": op7.op7_quality_rules,
+    "op9_minhash_near_dedup": op9.op9_minhash_near_dedup,
 }
 
 ORACLES = {
     "op5_substring_dedup": op5.ORACLE_SQL,
+    "op9_minhash_near_dedup": op9.ORACLE_SQL,
 }
