@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -114,8 +114,6 @@ def plan(sized: DataFrame, seed: int = SEED, shards: int = SHARDS) -> list[dict]
             else:
                 p["draws"] += full
                 left = max(0.0, left - reach[-1])
-            if left <= 0 and turn + 1 < math.ceil(MOST):
-                left = 0
         out.append(p)
     ends = np.cumsum(split(np.array([p["draws"] for p in out], np.int64), shards, seed), axis=0) if out else np.zeros((shards, 0), np.int64)
     for i, p in enumerate(out):
@@ -125,8 +123,6 @@ def plan(sized: DataFrame, seed: int = SEED, shards: int = SHARDS) -> list[dict]
 
 def _thresholds(sized: DataFrame, made: list[dict]) -> None:
     """Sets how far into its last block each pass goes: the hash up to which the words come nearest to the rest."""
-    from pyspark.sql import Window
-
     open_ = [(i, k, t["last"], t["rest"]) for i, p in enumerate(made) for k, t in enumerate(p["turns"]) if t["last"] is not None]
     if not open_:
         return
@@ -143,39 +139,45 @@ def _thresholds(sized: DataFrame, made: list[dict]) -> None:
         made[r["i"]]["turns"][r["k"]]["cut"] = r["spot"]
 
 
-def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """rows (with columns source and size) plus source_size, target, taken and shards, the shard of each time taken."""
-    spot = _hash(key, seed)
-    sized = C.materialize(rows.select(F.col(source).alias("source"), F.col("size").cast("long").alias("size"), spot.alias("spot")))
-    made = plan(sized, seed, shards)
-    _thresholds(sized, made)
-    spark = rows.sparkSession
+def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = SEED, shards: int = SHARDS, prefix: str = "") -> DataFrame:
+    """rows plus (each name with prefix) source_size, target, taken, shards (the shard of each time taken), spot."""
+    sized_ = C.materialize(rows.select(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), _hash(key, seed).alias("spot")))
+    made = plan(sized_, seed, shards)
+    _thresholds(sized_, made)
     turn = "array<struct<a:long,b:long,full:long,first:long,cut:long,last:long>>"
-    table = spark.createDataFrame(
+    table = rows.sparkSession.createDataFrame(
         [(p["source"], p["source_size"], float(p["target"]), [(t["a"], t["b"], t["full"], t["first_draw"], t["cut"], -1 if t["last"] is None else t["last"]) for t in p["turns"]], p["ends"]) for p in made],
-        f"_source string, source_size long, target double, _turns {turn}, _ends array<long>",
+        f"_source string, {prefix}source_size long, {prefix}target double, _turns {turn}, _ends array<long>",
     )
-    block, pos = F.floor(spot / _RANGE), spot
+    spot = F.col(f"{prefix}spot")
+    block = F.floor(spot / _RANGE)
     at = lambda t: F.pmod(t["a"] * block + t["b"], F.lit(BLOCKS))
-    hit = lambda t: (at(t) < t["full"]) | ((block == t["last"]) & (pos <= t["cut"]))
+    hit = lambda t: (at(t) < t["full"]) | ((block == t["last"]) & (spot <= t["cut"]))
     draws = F.transform(F.filter("_turns", hit), lambda t: t["first"] + at(t))
     shard = F.transform(draws, lambda d: F.size(F.filter("_ends", lambda e: e <= d)))
-    # one small row a source, counted above: a broadcast of bounded size
-    joined = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("shards", shard).withColumn("taken", (F.col("size") * F.size("shards")).cast("long")).drop("_source", "_turns", "_ends")
+    # one small row a source, as many as plan() has counted: a broadcast of bounded size
+    joined = rows.withColumn(f"{prefix}spot", _hash(key, seed)).join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")), "left")
+    joined = joined.withColumn(f"{prefix}shards", shard)
+    return joined.withColumn(f"{prefix}taken", (F.col(size) * F.size(f"{prefix}shards")).cast("long")).drop("_source", "_turns", "_ends")
+
+
+def dealt(mixed: DataFrame, prefix: str = "", partitions_per_shard: int = 16) -> DataFrame:
+    """A row for each time a row is taken, with its shard; each shard is dealt to several tasks and shuffled there."""
+    rows = mixed.withColumn(f"{prefix}shard", F.explode(f"{prefix}shards"))
+    part = F.pmod(F.xxhash64(f"{prefix}spot", f"{prefix}shard"), F.lit(partitions_per_shard))
+    return rows.repartition(f"{prefix}shard", part).sortWithinPartitions(f"{prefix}shard", F.xxhash64(F.lit("order"), f"{prefix}spot", f"{prefix}shard"))
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long"))
+def words(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long")
 
 
 def op2_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.materialize(sized(C.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    rows = C.materialize(C.read_table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, dealt to its shards and shuffled there, with all its columns."""
-    columns = docs.columns
-    taken = mix(sized(docs).withColumnsRenamed({}), "doc_id").where(F.size("shards") > 0)
-    return taken.select(*columns, F.explode("shards").alias("_shard")).select(*columns)
+    """The mix: each document as often as it is taken, shuffled within its shards, with all its columns."""
+    mixed = mix(docs.withColumn("_mix_size", words()), size="_mix_size", prefix="_mix_")
+    return dealt(mixed, "_mix_").select(*docs.columns)
