@@ -43,7 +43,7 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most max_bytes of text each (one row at least), with their bytes and offsets."""
     for rb in batches:
         data, offs = text_buffers(rb.column(column))

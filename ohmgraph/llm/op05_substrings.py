@@ -59,41 +59,45 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> D
     return seen.where("n is null").select("doc", "t", "s", "e").unionByName(more)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-        for text, gone in zip(rb.column("text"), rb.column("gone")):
-            words = (text.as_py() or "").encode().split()
-            n, keep = len(words), words
-            if gone.is_valid:
-                mask = np.zeros(n + 1, np.int64)
-                np.add.at(mask, gone.values.field("s").to_numpy(), 1)
-                np.add.at(mask, gone.values.field("e").to_numpy(), -1)
-                mask = np.cumsum(mask)[:n] > 0
-                keep = [w for w, m in zip(words, mask.tolist()) if not m]
-            kept = b" ".join(keep)
-            out["n_words"].append(n)
-            out["n_removed"].append(n - len(keep))
-            out["kept_sha256"].append(C.sha(kept))
-            out["kept"].append(kept.decode())
-        yield pa.RecordBatch.from_pydict({"doc_id": rb.column("doc_id"), **out}, schema=_OUT)
+def _cut(with_text: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rb, _, _ in C.blocks([batch]):
+                out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+                for text, gone in zip(rb.column("text"), rb.column("gone")):
+                    words = (text.as_py() or "").encode().split()
+                    n, keep = len(words), words
+                    if gone.is_valid:
+                        mask = np.zeros(n + 1, np.int64)
+                        np.add.at(mask, gone.values.field("s").to_numpy(), 1)
+                        np.add.at(mask, gone.values.field("e").to_numpy(), -1)
+                        mask = np.cumsum(mask)[:n] > 0
+                        keep = [w for w, m in zip(words, mask.tolist()) if not m]
+                    kept = b" ".join(keep)
+                    out["n_words"].append(n)
+                    out["n_removed"].append(n - len(keep))
+                    out["kept_sha256"].append(C.sha(kept))
+                    out["kept"].append(kept.decode() if with_text else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": rb.column("doc_id"), **out}, schema=_OUT)
+
+    return work
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def remove_repeats(documents: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept text, a row for each row of documents (doc_id, text)."""
+def remove_repeats(documents: DataFrame, length: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text, a row for each row of documents."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), C.text_tag().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     docs = rows.where("doc is not null")
     spans = repeated_spans(docs, length, gram)
     joined = R.with_text(docs, spans, "gone", "left").withColumnRenamed("doc", "doc_id")
     none = rows.where("doc is null").select("text", F.col("doc").alias("doc_id"), F.lit(None).cast(joined.schema["gone"].dataType).alias("gone"))
-    return joined.select("doc_id", "text", "gone").unionByName(none).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.select("doc_id", "text", "gone").unionByName(none).mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(C.read_table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(C.read_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 ORACLE_SQL = r"""

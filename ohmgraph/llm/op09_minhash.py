@@ -77,7 +77,7 @@ _PROFILE = pa.schema([("doc", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.
 
 def _profile(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb, data, offs in C.blocks(batches):
+        for rb, data, offs in C.blocks(batches, max_bytes=1 << 21):
             row, h = shingle_sets(data, offs, width)
             n = np.bincount(row, minlength=rb.num_rows)
             full = np.flatnonzero(n)
