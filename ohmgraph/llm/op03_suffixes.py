@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -26,7 +26,7 @@ from . import repeats as R
 
 LENGTH, GRAM = 100, 20
 #: Bytes of stretches that one suffix array holds (more only where one anchor has more).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Symbols packed in one sort key (9 bits each).
 _PACK = 7
 _TODO = "k long, doc long, t int, s int, n int, kind byte, stretch binary"
@@ -222,46 +222,53 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc, t, s, e): byte ranges covered by strings of this length that start earlier too. docs: (doc, t, text)."""
     seen = C.materialize(R.judged(docs, length, gram, words=False, across=False))
     todo = R.with_text(docs, seen.where("n is not null").select("doc", "t", "s", "n", "k", "hot"), "todo", "inner")
-    more = todo.mapInArrow(_stretches(length), _TODO).repartition("k").sortWithinPartitions("k").mapInArrow(_compare(length), "doc long, t int, s int, e int")
+    sent = todo.mapInArrow(_stretches(length), _TODO)
+    # a single window of a hot anchor that nothing shares a key with can't repeat: most are dropped here
+    met = sent.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("k"))).where((F.col("kind") == R.SPAN) | (F.col("met") > 1)).drop("met")
+    more = met.sortWithinPartitions("k").mapInArrow(_compare(length), "doc long, t int, s int, e int")
     return seen.where("n is null").select("doc", "t", "s", "e").unionByName(more)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rb in batches:
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for text, gone in zip(rb.column("text"), rb.column("gone")):
-            raw = (text.as_py() or "").encode()
-            parts, end, spans = [], 0, 0
-            if gone.is_valid:
-                s, e = gone.values.field("s").to_numpy(), gone.values.field("e").to_numpy()
-                _, s, e = R.merged(np.zeros(len(s), np.int64), s, e)
-                for a, b in zip(s.tolist(), e.tolist()):
-                    parts.append(raw[end:a])
-                    end, spans = b, spans + 1
-            parts.append(raw[end:])
-            kept = b"".join(parts)
-            out["n_bytes"].append(len(raw))
-            out["n_removed"].append(len(raw) - len(kept))
-            out["n_spans"].append(spans)
-            out["kept_sha256"].append(C.sha(kept))
-            out["kept"].append(kept)
-        yield pa.RecordBatch.from_pydict({"doc_id": rb.column("doc_id"), **out}, schema=_OUT)
+def _cut(with_text: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rb, _, _ in C.blocks([batch]):
+                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+                for text, gone in zip(rb.column("text"), rb.column("gone")):
+                    raw = (text.as_py() or "").encode()
+                    parts, end, spans = [], 0, 0
+                    if gone.is_valid:
+                        s, e = gone.values.field("s").to_numpy(), gone.values.field("e").to_numpy()
+                        _, s, e = R.merged(np.zeros(len(s), np.int64), s, e)
+                        for a, b in zip(s.tolist(), e.tolist()):
+                            parts.append(raw[end:a])
+                            end, spans = b, spans + 1
+                    parts.append(raw[end:])
+                    kept = b"".join(parts)
+                    out["n_bytes"].append(len(raw))
+                    out["n_removed"].append(len(raw) - len(kept))
+                    out["n_spans"].append(spans)
+                    out["kept_sha256"].append(C.sha(kept))
+                    out["kept"].append(kept if with_text else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": rb.column("doc_id"), **out}, schema=_OUT)
+
+    return work
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes, a row for each row of documents."""
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, a row for each row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), C.text_tag().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
     docs = rows.where("doc is not null")
     spans = repeated_spans(docs, length, gram)
     joined = R.with_text(docs, spans, "gone", "left").withColumnRenamed("doc", "doc_id")
     none = rows.where("doc is null").select("text", F.col("doc").alias("doc_id"), F.lit(None).cast(joined.schema["gone"].dataType).alias("gone"))
     return joined.select("doc_id", "text", "gone").unionByName(none).mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(C.read_table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(C.read_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
