@@ -148,14 +148,19 @@ def _literal(x: np.ndarray) -> Column:
     return F.lit([float(y) for y in x])
 
 
+def _centred(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """rows with the mean over each component taken off an array column."""
+    total = _array_sum(rows, ["component"], column, k).withColumnRenamed(column, "_total")
+    mean = total.join(rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")), "component")
+    return rows.join(mean, "component").withColumn(column, F.zip_with(column, "_total", lambda a, t: a - t / F.col("_n"))).drop("_total", "_n")
+
+
 def _distributed(edges: DataFrame, y: DataFrame, k: int, max_iterations: int) -> DataFrame:
     """Block PCG; k scalars a step reach the driver, everything else stays distributed."""
     both = materialize(G.adjacency(edges).withColumnsRenamed({"row": "node", "col": "other", "value": "w"}).repartition("other"))
     comp = components(edges.select("u", "v"))
-    base = y.join(comp, "node").join(G.degrees(edges), "node")
-    mean = _array_sum(base, ["component"], "y", k).join(base.groupBy("component").count(), "component").withColumnRenamed("y", "total")
-    base = base.join(mean, "component").withColumn("size", F.array_repeat(F.col("count").cast("double"), k))
-    state = base.select("node", "degree", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda _: F.lit(0.0)).alias("x"), _each(lambda a, t, c: a - t / c, "y", "total", "size").alias("r"))
+    base = _centred(y.join(comp, "node").join(G.degrees(edges), "node"), "y", k)
+    state = base.select("node", "degree", F.array_repeat(F.lit(0.0), k).alias("x"), F.col("y").alias("r"))
     state = materialize(state.withColumn("z", F.transform("r", lambda v: v / F.col("degree"))).withColumn("p", F.col("z")))
     norm = np.sqrt(_dots(state, "r", "r", k))
     rz = _dots(state, "r", "z", k)
@@ -180,7 +185,7 @@ def _distributed(edges: DataFrame, y: DataFrame, k: int, max_iterations: int) ->
     bad = np.divide(left, norm, out=np.zeros(k), where=norm > 0)
     if (bad >= ACCEPT_RELATIVE).any():
         raise NotConverged(f"relative residual {bad.max():.3g}")
-    return state.select("node", "x")
+    return _centred(state.join(comp, "node").select("node", "component", "x"), "x", k).select("node", "x")
 
 
 def solve(edges: DataFrame, y: DataFrame, k: int, strategy: str = "auto", max_iterations: int = MAX_ITERATIONS) -> DataFrame:
