@@ -28,6 +28,7 @@ QUERIES = {
 
 #: Where SQL can express the whole result.
 ORACLES = {
+    "op3_suffix_array_dedup": op3.ORACLE_SQL,
     "op5_substring_dedup": op5.ORACLE_SQL,
     "op9_minhash_near_dedup": op9.ORACLE_SQL,
     "op10_reply_trees": op10.ORACLE_SQL,
