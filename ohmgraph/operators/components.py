@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,33 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of links (u, v); component is the least node that can be reached."""
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least node of the component of each of n nodes."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, u, label[v])
+        np.minimum.at(low, v, label[u])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _at_once(links: DataFrame) -> DataFrame:
+    found = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).toArrow()
+    u, v = (found.column(c).to_numpy() for c in ("u", "v"))
+    nodes, flat = np.unique(np.concatenate((u, v)), return_inverse=True)
+    label = nodes[labels(len(nodes), flat[: len(u)], flat[len(u) :])] if len(nodes) else nodes
+    return links.sparkSession.createDataFrame(pa.table({"node": nodes.astype(np.int64), "component": label.astype(np.int64)}), "node long, component long")
+
+
+def components(links: DataFrame, max_rounds: int = 60, at_once: int = 0) -> DataFrame:
+    """(node, component) for every node of links (u, v); component is the least node that can be reached.
+
+    at_once: a table of at most so many links, counted first, is labelled on the driver in one go."""
+    if at_once and links.limit(at_once + 1).count() <= at_once:
+        return _at_once(links.where("u <> v"))
     now = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(max_rounds):

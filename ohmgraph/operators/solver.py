@@ -17,25 +17,12 @@ from pyspark.sql import functions as F
 
 from ..params import ACCEPT_RELATIVE, MAX_ITERATIONS, STOP_RESIDUAL
 from . import graph as G
-from .components import components, materialize
+from .components import components, labels, materialize
 
 #: Bounds of the first two strategies, counted before they are chosen; 24 bytes an edge are broadcast.
 DENSE_NODES, COLUMN_EDGES = 3000, 5_000_000
 
 
-def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Least node of each node's component."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, u, label[v])
-        np.minimum.at(low, v, label[u])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def solve_dense(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Exact minimum-norm solution; y: n x k."""
     lap = np.zeros((n, n))
@@ -43,7 +30,7 @@ def solve_dense(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, y: np.ndarr
     np.add.at(lap, (v, u), -w)
     np.add.at(lap, (u, u), w)
     np.add.at(lap, (v, v), w)
-    label = _labels(n, u, v)
+    label = labels(n, u, v)
     same = label[:, None] == label[None, :]
     lap += same / np.bincount(label, minlength=n)[label][:, None]
     return project(np.linalg.solve(lap, project(y, label)), label)
@@ -61,7 +48,7 @@ def solve_pcg(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, y: np.ndarray
     """(x, relative residual) by column."""
     deg = np.bincount(u, w, n) + np.bincount(v, w, n)
     inverse = np.divide(1.0, deg, out=np.zeros(n), where=deg > 0)
-    label = _labels(n, u, v)
+    label = labels(n, u, v)
     out, left = np.zeros_like(y), np.zeros(y.shape[1])
     for j in range(y.shape[1]):
         b = project(y[:, j : j + 1], label)[:, 0]

@@ -168,6 +168,8 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[103] == got[101] == 100 and len(got) == 64
     assert V.count_components(graph(spark, chain), 200) == 2 + 200 - 64
     assert components(graph(spark, [])).count() == 0
+    assert sorted(components(graph(spark, chain), at_once=1000).collect()) == sorted(components(graph(spark, chain), at_once=10).collect())
+    assert components(graph(spark, []), at_once=10).count() == 0
 
 
 def test_sparsify_end_to_end(spark):
