@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import tomllib
 
 from pyspark.sql import SparkSession
 
@@ -31,11 +32,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--test", action="store_true", help="check components and probes")
     p.add_argument("-r", "--run-experiment", choices=EXPERIMENTS)
     p.add_argument("--convert-edge-list", action="store_true", help="turn an edge list into Matrix Market")
+    p.add_argument("--config", help="TOML file with defaults, by the long names of these options")
     return p
 
 
+def _arguments(argv: list[str] | None) -> argparse.Namespace:
+    """Options given on the command line, over those of the configuration file, over the defaults."""
+    p = parser()
+    first = p.parse_args(argv)
+    if first.config:
+        with open(first.config, "rb") as f:
+            found = {k.replace("-", "_"): v for k, v in tomllib.load(f).items()}
+        unknown = set(found) - set(vars(first))
+        if unknown:
+            p.error(f"{first.config} has unknown options: {', '.join(sorted(unknown))}")
+        p.set_defaults(**found)
+    return p.parse_args(argv)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = parser().parse_args(argv)
+    a = _arguments(argv)
     spark = spark or SparkSession.builder.appName("ohmgraph").getOrCreate()
     p = command_line_defaults(epsilon=a.epsilon, sketch=a.sketch, sketch_seed=a.sketch_seed, sampling_seed=a.sampling_seed, jl_factor=a.jl_factor, reweight=a.reweight)
     for path in a.input:

@@ -195,3 +195,11 @@ def residuals(edges: DataFrame, x: DataFrame, y: DataFrame, k: int) -> np.ndarra
     rows = rows.withColumn("r", F.transform(F.arrays_zip("y", "x", "q"), lambda t: t["y"] - (t["x"] * F.col("degree") - t["q"])))
     top, bottom = _dots(rows, "r", "r", k), _dots(rows, "y", "y", k)
     return np.sqrt(np.divide(top, bottom, out=np.zeros(k), where=bottom > 0))
+
+
+def grounded(x: DataFrame, node: int) -> DataFrame:
+    """The solution that is 0 at one node, as of a system without that node's row and column."""
+    base = x.where(F.col("node") == node).select("x").first()
+    if base is None:
+        raise ValueError(f"node {node} has no solution")
+    return x.withColumn("x", F.zip_with("x", F.lit([float(v) for v in base["x"]]), lambda a, b: a - b))

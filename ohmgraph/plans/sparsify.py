@@ -96,3 +96,15 @@ def sparsify_dataset(spark: SparkSession, path: str, epsilon: float = 0.5, outpu
     if output:
         MM.write_matrix(out.laplacian, output, n)
     return out
+
+
+def sparsify_stored_laplacian(spark: SparkSession, path: str, params: Params, timer: Timer | None = None) -> Result:
+    """As sparsify, for a file that holds a Laplacian."""
+    matrix, n, _ = MM.read_matrix(spark, path)
+    return sparsify(G.edges_of_laplacian(matrix), n, params, timer)
+
+
+def laplacian_of_file(spark: SparkSession, path: str, params: Params) -> DataFrame:
+    """The Laplacian of a graph file, without sparsification."""
+    matrix, _, _ = MM.read_matrix(spark, path)
+    return G.laplacian(ready(G.upper_triangle(matrix), params))

@@ -11,7 +11,8 @@ from ohmgraph.operators import verify as V
 from ohmgraph.operators.components import components
 from ohmgraph.params import Params, command_line_defaults, library_defaults
 from ohmgraph.plans import experiments as X
-from ohmgraph.plans.sparsify import ready, sparsify, sparsify_dataset
+from ohmgraph.plans.sparsify import laplacian_of_file, ready, sparsify, sparsify_dataset, sparsify_stored_laplacian
+from ohmgraph.sources import generators as R
 from ohmgraph.sources import matrix_market as MM
 from ohmgraph.sources import text as TX
 from ohmgraph.streaming.resparsify import EdgeStream
@@ -265,3 +266,35 @@ def test_experiment_row(spark):
     want = ["dataset", "epsilon", "sketch_type", "evim_time", "jl_time", "solve_time", "diff_norm_time", "reweight_time", "cc_success", "upper_bound_violations", "lower_bound_violations", "mean_rel_error", "std_dev_rel_error", "max_rel_error", "sparsification_rate"]
     assert list(row.asDict()) == want and row.cc_success
     assert [len(list(g)) for g in (X.basic_grid(), X.jl_scaling_grid(20), X.jl_dim_grid(20), X.space_grid())] == [6, 8, 6, 2]
+
+
+def test_generators(spark):
+    g = R.path_with_shortcuts(spark)
+    assert sorted(tuple(r) for r in g.collect()) == sorted(path_with_shortcuts())
+    m = R.random_matrix(spark, 103, 91, 900, 1).collect()
+    assert 800 < len(m) <= 900 and all(0 <= r.row < 103 and 0 <= r.col < 91 and abs(r.value) < 1 for r in m)
+    assert all(r.row > r.col for r in R.random_matrix(spark, 40, 40, 300, 2, strict_lower=True).collect())
+    b = R.random_incidence(spark, 50, 200, 3).groupBy("edge").agg(F.count("*").alias("n"), F.countDistinct("node").alias("d"), F.sum("value").alias("s")).collect()
+    assert len(b) == 200 and all(r.n == r.d == 2 and r.s == 0 for r in b)
+    assert abs(R.random_vector(spark, 100, 4, zero_sum=True).agg(F.sum("x")).first()[0]) < 1e-9
+    assert R.random_edges(spark, 30, 200, 5).where("u >= v or w <= 0").count() == 0
+
+
+def test_stored_laplacian_and_grounding(spark, tmp_path):
+    edges = random_edges(30, 200)
+    df = graph(spark, edges)
+    MM.write_matrix(G.adjacency(df), str(tmp_path / "g.mtx"), 30)
+    MM.write_matrix(laplacian_of_file(spark, str(tmp_path / "g.mtx"), library_defaults()), str(tmp_path / "l.mtx"), 30)
+    got = sparsify_stored_laplacian(spark, str(tmp_path / "l.mtx"), library_defaults(beta_constant=1000.0)).edges.collect()
+    assert {(r.u, r.v) for r in got} == {(u, v) for u, v, _ in edges}
+    y = sketch.wide(df, library_defaults(), 2)
+    x = {r.node: r.x for r in solver.grounded(solver.solve(df, y, 2, "dense"), 29).collect()}
+    rhs = np.array([r.y for r in y.orderBy("node").collect()])
+    want = np.linalg.solve(dense(edges, 30)[:29, :29], rhs[:29])
+    assert x[29] == [0.0, 0.0] and all(np.allclose(x[i], want[i]) for i in range(29))
+
+
+def test_config_file(tmp_path):
+    (tmp_path / "c.toml").write_text('epsilon = 0.25\nsketch-seed = 7\n')
+    a = cli._arguments(["--config", str(tmp_path / "c.toml"), "--sketch-seed", "9"])
+    assert (a.epsilon, a.sketch_seed, a.jl_factor) == (0.25, 9, 4.0)
