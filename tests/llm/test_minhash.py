@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from ohmgraph.llm import op09_minhash as op9
 
@@ -34,14 +35,16 @@ def corpus():
         base = [f"w{rnd.randint(0, 4000)}" for _ in range(rnd.choice([5, 30, 80, 300]))]
         for _ in range(rnd.choice([1, 2, 6, 40])):
             words = list(base)
-            for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+            for _ in range(rnd.choice([0, 0, 1, 2, 3, 6])):
                 words[rnd.randrange(len(words))] = f"x{rnd.randint(0, 10**6)}"
             docs.append((7919 * i % 1009, " ".join(words)))
             i += 1
     return docs
 
 
-def test_components_as_brute_force(spark):
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_components_as_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(op9, "TILE", tile)
     docs = corpus()
     got = op9.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
