@@ -1,8 +1,9 @@
 """Chat formatting over reply trees, native: DataFrame expressions only.
 
-A node has a parent in its conversation or none. Iterative self-joins double the part of the way to the root that each
-node knows, so a tree of depth d takes about log2(d) joins; the leaves' ways are the conversations' branches. Branches
-rank by the sum of their nodes' scores, and each chosen one becomes one conversation.
+A node has a parent in its conversation or none. Iterative self-joins double the jumps towards the root: the
+ancestors 1, 2, 4, ... above each node deep enough. The same jumps, from the longest down, then give all nodes on each
+leaf's way to its root, so a tree of depth d takes about 2 log2(d) joins and no more rows than its paths have nodes.
+Branches rank by the sum of their nodes' scores, and each chosen one becomes one conversation.
 
 Template: `### role: text</turn>` and a newline for each turn. In texts and roles the characters that the template is
 made of are escaped, `\\` as `\\b`, `<` as `\\l`, `#` as `\\h` and, in roles, `:` as `\\c`; so no marker can occur in
@@ -11,7 +12,7 @@ them, and since every backslash then starts a code, the codes are undone one kin
 Loss mask: spans of the formatted text, one for each assistant text.
 
 Defined results: a null text or role is empty; rows of one turn follow each other by role and text, repeated rows
-stay; a null conv_id is a conversation; nodes whose parent is missing are roots; an empty table gives an empty table;
+stay; of nodes that repeat an id one stays; a null conv_id is a conversation; nodes whose parent is missing are roots; an empty table gives an empty table;
 further columns are not looked at.
 """
 
@@ -41,22 +42,26 @@ def unescape(text: Column, codes: tuple = _CODES) -> Column:
 
 
 def branches(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
-    """(conv_id, leaf, path): the ids from the root to each leaf. nodes: (conv_id, node, parent)."""
-    known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
+    """(conv_id, leaf, node, dist): every node on the way from a leaf to its root, at its distance from the leaf.
+
+    nodes: (conv_id, node, parent), one row a node."""
     rows = nodes.select("conv_id", "node", "parent")
-    matched = rows.join(known, rows["parent"].eqNullSafe(known["parent"]) & rows["conv_id"].eqNullSafe(known["conv_id"]), "left")
-    now = C.materialize(matched.select(rows["conv_id"], rows["node"], F.when(F.col("there"), rows["parent"]).alias("up"), F.array("node").alias("path")))
-    leaves = C.materialize(_anti(now, now.select("conv_id", F.col("up").alias("node")).where("node is not null")).select("conv_id", "node"))
-    for _ in range(max_doublings):
-        if not now.where("up is not null").limit(1).count():
-            break
-        above = now.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("path").alias("p"))
-        joined = now.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
-        now = C.materialize(joined.select("conv_id", "node", F.col("u").alias("up"), F.when(F.col("n").isNotNull(), F.concat("p", "path")).otherwise(F.col("path")).alias("path")))
-    else:
-        raise ValueError("the replies form a circle")
-    a = leaves.select(F.col("conv_id").alias("c"), F.col("node").alias("leaf"))
-    return now.join(a, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("leaf"))).select("conv_id", "leaf", "path")
+    a = rows.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
+    jump = C.materialize(rows.join(a, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("n"))).select("conv_id", "node", F.col("parent").alias("up")))
+    found = _anti(rows, jump.select("conv_id", F.col("up").alias("node"))).select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
+    jumps = []  # jumps[k]: the ancestor 2**k above, of nodes that deep
+    while jump.limit(1).count():
+        if len(jumps) == max_doublings:
+            raise ValueError("the replies form a circle")
+        jumps.append(jump)
+        above = jump.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"))
+        jump = C.materialize(jump.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n"))).select("conv_id", "node", F.col("u").alias("up")))
+    # from the longest jump down, each distance is reached once, as the sum of its powers of two
+    for k in reversed(range(len(jumps))):
+        above = jumps[k].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+        more = found.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+        found = C.materialize(found.unionByName(more.select("conv_id", "leaf", F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))))
+    return found
 
 
 def _anti(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -69,7 +74,8 @@ def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
     nodes: (conv_id, node, parent, score, role, text); mask: array of (start, end) in formatted. Ties in score go to
     the smaller leaf."""
-    steps = branches(nodes).select("conv_id", "leaf", F.posexplode("path").alias("at", "step"))
+    nodes = nodes.dropDuplicates(["conv_id", "node"])
+    steps = branches(nodes).select("conv_id", "leaf", (-F.col("dist")).alias("at"), F.col("node").alias("step"))
     n = nodes.select(F.col("conv_id").alias("c"), "node", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = steps.join(n, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("step") == F.col("node")))
     head = F.concat(F.lit(OPEN), escape(F.col("role"), _ROLE_CODES), F.lit(MIDDLE))
