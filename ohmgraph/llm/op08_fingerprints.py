@@ -133,7 +133,8 @@ def compare_with_next(documents: DataFrame, parts: int | None = None) -> DataFra
     """Digests of each document and of its edited text, and their likeness; see the module for the order."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # several ranges for each partition, so that partitions come out even
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("doc", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     cut = F.lit([int(x) for x in cuts]) if cuts else F.expr("cast(array() as array<long>)")
     part = F.when(F.col("doc").isNull(), 0).otherwise(F.size(F.filter(cut, lambda c: c <= F.col("doc"))))
