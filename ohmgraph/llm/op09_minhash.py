@@ -11,9 +11,9 @@ about 3e-6. Verification counts the shingles of both whole texts.
 Documents with equal sets form a class first; only its smallest doc_id goes on. A bucket's members are compared with
 its smallest member and with the next in a random order of each band, which joins nearly all of a large group at two
 pairs a member and band at most. In buckets where more than one component is left, every member outside the largest
-is then held against all members of other components by their sketches, in tiles of a bounded number of members;
-only pairs whose sketches agree in `NEAR` of the bins (4 deviations below 0.8) leave the task, in the first band they
-share, and are verified. Pairs inside a component, which can't change the result, are never made.
+is then held against all members of other components, in tiles of a bounded number of members: pairs whose sketches
+agree in `NEAR` of the bins (4 deviations below 0.8) are verified there, in the first band they share, and only links
+leave the task. Pairs inside a component, which can't change the result, are never made.
 
 Defined results: null and empty texts have no set and link with nothing; rows that repeat a doc_id are one node; a
 null doc_id has no component and is kept; an empty table gives an empty table; further columns are not looked at.
@@ -35,7 +35,7 @@ SHINGLE, NUM, DEN = 4, 80, 100
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Bins of a pair's sketches that agree at least before its texts are compared; members of a tile.
-NEAR, TILE = int(0.675 * BINS), 1000
+NEAR, TILE = int(0.675 * BINS), 400
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -102,23 +102,29 @@ def _profile(width: int):
     return work
 
 
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    out: list[np.ndarray] = []
+    for rb, data, offs in C.blocks([pa.RecordBatch.from_arrays([texts], names=["text"])]):
+        row, h = shingle_sets(data, offs, width)
+        out += np.split(h, np.searchsorted(row, np.arange(1, rb.num_rows)))
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b) or DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * common >= NUM * (len(a) + len(b) - common)
+
+
 def _verify(width: int):
     """mapInArrow function over (u, v, left, right): the pairs whose sets are similar enough."""
 
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for rb, data, offs in C.blocks([pa.RecordBatch.from_arrays([texts], names=["text"])]):
-            row, h = shingle_sets(data, offs, width)
-            out += np.split(h, np.searchsorted(row, np.arange(1, rb.num_rows)))
-        return out
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rb, _, _ in C.blocks([batch], "left"):
-                keep = []
-                for a, b in zip(sets(rb.column("left")), sets(rb.column("right"))):
-                    common = len(np.intersect1d(a, b, assume_unique=True)) if DEN * min(len(a), len(b)) >= NUM * max(len(a), len(b)) else 0
-                    keep.append(common > 0 and DEN * common >= NUM * (len(a) + len(b) - common))
+                keep = [_similar(a, b) for a, b in zip(_sets(rb.column("left"), width), _sets(rb.column("right"), width))]
                 yield pa.RecordBatch.from_arrays([rb.column("u"), rb.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return work
@@ -127,61 +133,64 @@ def _verify(width: int):
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function over (key, i, j, band, apart, doc, comp, sketch), sorted by (key, i, j): rows that are
-    apart against the others of their tile; the pairs of different components that may be similar."""
+def _held_against(width: int):
+    """mapInArrow function over (key, i, j, band, apart, doc, comp, sketch, text), sorted by (key, i, j): rows that are
+    apart against the others of their tile; the links between different components."""
 
     def judge(tb: pa.Table) -> pa.RecordBatch:
         get = lambda c: tb.column(c).to_numpy()
         doc, comp, apart, band = get("doc"), get("comp"), get("apart").astype(bool), int(get("band")[0])
         sketch = np.frombuffer(b"".join(tb.column("sketch").to_pylist()), np.uint16).reshape(len(doc), BINS)
-        every, out = np.flatnonzero(~apart), []
+        every, out, sets = np.flatnonzero(~apart), [], None
         own = sketch[every]
         for i in np.flatnonzero(apart):
             same = own == sketch[i]
-            hit = (same.sum(axis=1) >= NEAR) & (comp[every] != comp[i])
-            k = np.flatnonzero(hit)
+            k = np.flatnonzero((same.sum(axis=1) >= NEAR) & (comp[every] != comp[i]))
             if len(k):  # told in the first band that both share
-                k = k[same[k].reshape(len(k), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-                out.append((np.minimum(doc[i], doc[every[k]]), np.maximum(doc[i], doc[every[k]])))
-        cols = [np.concatenate([np.empty(0, np.int64), *(x[c] for x in out)]) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_PAIR)
-
-    held: list[pa.RecordBatch] = []
-    last = None
-    for rb in batches:
-        if not rb.num_rows:
-            continue
-        name = np.stack([rb.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, rb.num_rows]):
-            if last is not None and tuple(name[:, lo]) != last:
-                yield judge(pa.Table.from_batches(held))
-                held = []
-            held.append(rb.slice(lo, hi - lo))
-            last = tuple(name[:, lo])
-    if held:
-        yield judge(pa.Table.from_batches(held))
-
-
-def _left_over(met: DataFrame, known: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar."""
+                k = every[k[same[k].reshape(len(k), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]]
+            if len(k):
+                sets = sets or _sets(tb.column("text").combine_chunks(), width)
+                out += [sorted((int(doc[i]), int(doc[x]))) for x in k if _similar(sets[i], sets[x])]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], schema=_PAIR)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            name = np.stack([rb.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, rb.num_rows]):
+                if last is not None and tuple(name[:, lo]) != last:
+                    yield judge(pa.Table.from_batches(held))
+                    held = []
+                held.append(rb.slice(lo, hi - lo))
+                last = tuple(name[:, lo])
+        if held:
+            yield judge(pa.Table.from_batches(held))
+
+    return work
+
+
+def _left_over(met: DataFrame, known: DataFrame, heads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links between different components that share a bucket, as a table."""
     of = Window.partitionBy("key")
     placed = met.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
     mixed = placed.withColumn("lo", F.min("comp").over(of)).withColumn("hi", F.max("comp").over(of)).where("lo <> hi and size > 2")
     mixed = C.materialize(mixed.select("key", "band", "doc", "comp", "size"))
     sizes = mixed.groupBy("key", "comp").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.count").alias("most"))
-    rows = mixed.join(main, "key").join(heads.select("doc", "sketch"), "doc")
+    rows = mixed.join(main, "key").join(heads.select("doc", "sketch").join(texts, "doc"), "doc")
     tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
     spot = F.xxhash64(F.lit("tile"), "doc")
     t, ta = tiles(F.col("size")), tiles(F.col("size") - F.col("most"))
     all_tiles = lambda n: F.sequence(F.lit(0), n - 1)
-    cols = ["key", "band", "doc", "comp", "sketch"]
+    cols = ["key", "band", "doc", "comp", "sketch", "text"]
     members = rows.select(*cols, F.lit(0).alias("apart"), F.pmod(spot, t).cast("int").alias("i"), F.explode(all_tiles(ta)).alias("j"))
     apart = rows.where("comp <> main").select(*cols, F.lit(1).alias("apart"), F.explode(all_tiles(t)).alias("i"), F.pmod(spot, ta).cast("int").alias("j"))
-    both = members.unionByName(apart).select("key", "i", "j", "band", "apart", "doc", "comp", "sketch")
-    return both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_held_against, "u long, v long").distinct()
+    both = members.unionByName(apart).select("key", "i", "j", "band", "apart", "doc", "comp", "sketch", "text")
+    return C.materialize(both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_held_against(width), "u long, v long"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -210,7 +219,7 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
     pairs = met.select("doc", other.alias("other")).where("doc <> other").select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v")).distinct()
     links = _links(pairs, texts, width)
     known = components(links)
-    more = _links(C.materialize(_left_over(met, known, heads)), texts, width)
+    more = _left_over(met, known, heads, texts, width)
     if more.limit(1).count():
         known = components(links.unionByName(more))
     heads_in = classes.join(known.withColumnRenamed("node", "head"), "head", "left").select("a", "b", F.coalesce("component", "head").alias("component_id"))
