@@ -26,20 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-#: Results that a generation of each of a worker's two memories holds.
-REMEMBERED = 300_000
+#: Results that a generation of a worker's memories holds; about 60 MB each.
+REMEMBERED = 200_000
 
 
 class Memory:
-    """The latest results by key, in two generations of a fixed size each."""
+    """The latest results by key, in one or two generations of a fixed size each."""
 
-    def __init__(self) -> None:
+    def __init__(self, two: bool) -> None:
+        self.two = two
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
     def keep(self, key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young if self.two else {}, {}
         self.young[key] = ids
         return ids
 
@@ -52,7 +53,8 @@ class Bpe:
         self.vocab = {b: a for a, b in self.ranks.items()}
         self.digits = {i: str(i) for i in self.vocab}
         self.find = regex.compile(pattern).findall
-        self.pieces, self.tokens = Memory(), Memory()
+        self.couples = [self.ranks.get(bytes((i >> 8, i & 255))) for i in range(1 << 16)]
+        self.pieces, self.tokens = Memory(False), Memory(True)
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one pre-token.
@@ -65,7 +67,8 @@ class Bpe:
             return (whole,)
         n = len(raw)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        pair = [rank_of(raw[i : i + 2]) for i in range(n - 1)]
+        couples = self.couples
+        pair = [couples[a << 8 | b] for a, b in zip(raw, raw[1:])]
         buckets: dict[int, list[int]] = {}
         leaf: dict[int, int] = {}
         top = 0
