@@ -161,8 +161,12 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     return joined.withColumn(f"{prefix}taken", (F.col(size) * F.size(f"{prefix}shards")).cast("long")).drop("_source", "_turns", "_ends")
 
 
-def dealt(mixed: DataFrame, prefix: str = "", partitions_per_shard: int = 16) -> DataFrame:
-    """A row for each time a row is taken, with its shard; each shard is dealt to several tasks and shuffled there."""
+def dealt(mixed: DataFrame, prefix: str = "", partitions_per_shard: int | None = None) -> DataFrame:
+    """A row for each time a row is taken, with its shard; each shard is dealt to several tasks and shuffled there.
+
+    Unless told, a shard has parts as the shuffle has partitions, four times over for all shards together."""
+    if partitions_per_shard is None:
+        partitions_per_shard = max(16, 4 * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
     rows = mixed.withColumn(f"{prefix}shard", F.explode(f"{prefix}shards"))
     part = F.pmod(F.xxhash64(f"{prefix}spot", f"{prefix}shard"), F.lit(partitions_per_shard))
     return rows.repartition(f"{prefix}shard", part).sortWithinPartitions(f"{prefix}shard", F.xxhash64(F.lit("order"), f"{prefix}spot", f"{prefix}shard"))
