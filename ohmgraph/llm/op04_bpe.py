@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-#: Results that a generation of a worker's memories holds; about 60 MB each.
-REMEMBERED = 200_000
+#: Results that a generation of a worker's memories holds; about 70 MB each.
+REMEMBERED = 300_000
 
 
 class Memory:
@@ -54,7 +54,7 @@ class Bpe:
         self.digits = {i: str(i) for i in self.vocab}
         self.find = regex.compile(pattern).findall
         self.couples = [self.ranks.get(bytes((i >> 8, i & 255))) for i in range(1 << 16)]
-        self.pieces, self.tokens = Memory(False), Memory(True)
+        self.pieces, self.tokens = Memory(True), Memory(True)
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one pre-token.
