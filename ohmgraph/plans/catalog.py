@@ -360,15 +360,11 @@ def probe_check(spark, d):
 _RARE = f"s AS (SELECT u, v FROM g WHERE {T.coin('co', 'u', 'v', seed=8)} < 1.2::DOUBLE / {_N})"
 
 
-def rare_edges(spark, d) -> DataFrame:
-    return sample.coins(T.supplier_graph(spark, d), 8, "md5").where(F.col("coin") < F.lit(1.2) / n_suppliers(spark, d))
-
-
 @query(f"""WITH RECURSIVE {T.G}, {_RARE}, e AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s),
 reach AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT r.node, e.v FROM reach r JOIN e ON e.u = r.seen)
 SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def connected_components(spark, d):
-    return V.labelled(rare_edges(spark, d), n_suppliers(spark, d))
+    return V.labelled(T.supplier_graph(spark, d), n_suppliers(spark, d))
 
 
 @query(f"WITH {T.G}, {_HALF} SELECT u, v, w FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.u = g.u AND h.v = g.v)")
