@@ -1,16 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
 Each feature of a text has a fixed grid of cutoffs. Over all labelled documents, the good ones of a stratum are a
-holdout for the question how often "feature above cutoff" would reject a good document. A cutoff is valid when the
-exact binomial (Clopper-Pearson) upper bound of that false rejection rate lies below the feature's share of the
-risk `ALPHA`. The error budget `DELTA` is divided by the number of strata and features (Bonferroni); within a
-feature the cutoffs are tested in a fixed order, from the one that rejects least, until one isn't valid, which needs
-no further division. So with probability 1 - DELTA all chosen rules together reject at most ALPHA of the good
-documents of each stratum. The last valid cutoff is used; where none is valid, and in strata without labels, the
-feature rejects nothing.
+holdout for the question how often the rules would reject a good document. What is tested is always the union of the
+rules: a cutoff is valid when the exact binomial (Clopper-Pearson) upper bound of the false rejection rate of "this
+feature above the cutoff, or rejected by the features before it" lies below the whole risk `ALPHA`. Features come in
+the order of GRID; within a feature the cutoffs are tested in a fixed order, from the one that rejects least, until
+one isn't valid, which needs no further division. The last valid cutoff is used; where none is valid, and in strata
+without labels, the feature rejects nothing.
+
+The error budget `DELTA` is divided by the number of strata; of a stratum's share the first feature has a half, the
+next a quarter, and so on. A feature's part is divided by the number of selections that the features before it can
+end in (one for the first), as its unions depend on which was made. So with probability 1 - DELTA all chosen rules
+together reject at most ALPHA of the good documents of each stratum, and a feature that rejects none of them costs the
+others nothing. `labels_needed` has the good labels without which a feature gets no cutoff.
 
 Features come from vectorised scans of the UTF-8 bytes; counts for the thresholds are summed in Spark over every
-labelled document, and only strata x features x cutoffs sums reach the driver.
+labelled document, and only the counts of strata x selections reach the driver, however many documents there are.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged row by row;
 a label table with repeated doc_ids counts each document once, as good only if all its labels say so; null labels
@@ -20,7 +25,7 @@ and null doc_ids are not labelled; a null stratum is a stratum; empty tables giv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -144,22 +149,43 @@ def valid(rejected: int, good: int, alpha: float, delta: float) -> bool:
     return good > 0 and binomial_cdf(rejected, good, alpha) <= delta
 
 
+def shares(strata: int, delta: float = DELTA) -> list[float]:
+    """Error budget of each feature in each of its chains of cutoffs, in one of so many strata."""
+    out, before = [], 1
+    for i, grid in enumerate(GRID.values()):
+        out.append(delta / strata / 2 ** (i + 1) / before)
+        before *= len(grid) + 1
+    return out
+
+
+def labels_needed(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """Good labels of a stratum from which on a feature gets a cutoff, if the rules reject none of them."""
+    return {f: ceil(log(share) / log1p(-alpha)) for f, share in zip(GRID, shares(strata, delta))}
+
+
 def select_rules(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
     """stratum -> feature -> cutoff, from labelled rows. labels: (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ratio = features()
-    sums = [F.sum((ratio[f] > cut).cast("long")).alias(f"{f}|{i}") for f, grid in GRID.items() for i, cut in enumerate(grid)]
+    above = [sum((ratio[f] > cut).cast("int") for cut in grid).alias(f) for f, grid in GRID.items()]  # cutoffs that a row exceeds
     held = counted.where(~base_failed()).join(known.where("quality = 1"), "doc_id", "left_semi")
-    rows = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *sums).collect()  # one row a stratum
-    tests = max(1, len(rows)) * len(GRID)
-    rules: dict[str | None, dict[str, float]] = {}
+    rows = held.groupBy("stratum", *above).agg(F.count(F.lit(1)).alias("good")).collect()
+    strata: dict[str | None, list] = {}
     for r in rows:
-        rules[r["stratum"]] = {}
-        for f, grid in GRID.items():
+        strata.setdefault(r["stratum"], []).append(r)
+    rules: dict[str | None, dict[str, float]] = {}
+    for stratum, own in strata.items():
+        rules[stratum] = {}
+        good = np.array([r["good"] for r in own])
+        hit = np.zeros(len(own), bool)
+        for (f, grid), share in zip(GRID.items(), shares(len(strata), delta)):
+            exceeds, chosen = np.array([r[f] for r in own]), hit
             for i, cut in reversed([*enumerate(grid)]):  # fixed sequence: the highest cutoff rejects least
-                if not valid(r[f"{f}|{i}"], r["good"], alpha / len(GRID), delta / tests):
+                union = hit | (exceeds > i)
+                if not valid(int(good[union].sum()), int(good.sum()), alpha, share):
                     break
-                rules[r["stratum"]][f] = cut
+                rules[stratum][f], chosen = cut, union
+            hit = chosen
     return rules
 
 

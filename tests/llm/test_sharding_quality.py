@@ -71,3 +71,29 @@ def test_false_rejection_is_limited(spark):
     nothing = op7.judge(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert nothing.where("kept = base_failed").count() == 0
     assert op7.judge(docs.where("doc_id < 0"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
+def test_small_strata_get_rules(spark):
+    rnd = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(1200):  # 250 good documents a stratum, far below what a sixth of the risk would need
+        good = i % 6 > 0
+        words = [("w%d" % x) + ("" if good else "##") for x in rnd.integers(10**5, 10**6, 300)]
+        rows.append((i, " ".join(words), "abcd"[i // 6 % 4]))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = op7.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r.kept == (r.doc_id % 6 > 0) for r in got)
+    assert op7.labels_needed(4)["symbols_per_word"] == 99 < op7.labels_needed(4)["few_words"] < 400
+    assert sum(2.0 ** -(i + 1) for i in range(len(op7.GRID))) < 1
+
+
+def test_union_keeps_the_risk(spark):
+    """Features that each reject 4 % of the good documents, but 8 % together, can't both be used."""
+    n = {"n_words": 1000, "word_chars": 5000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0}
+    odd = {0: {"n_symbols": 5000}, 1: {"n_dup_lines": 500}}
+    rows = [(i, "x", *(n | odd.get(i % 25, {})).values()) for i in range(20000)]
+    counted = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in op7._COUNTS))
+    labels = counted.selectExpr("doc_id", "1 quality")
+    rules = op7.select_rules(counted, labels)["x"]
+    assert "symbols_per_word" in rules and "dup_lines_per_word" not in rules
