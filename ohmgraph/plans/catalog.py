@@ -161,7 +161,7 @@ def matrix_sum(spark, d):
 
 @query(f"WITH {T.G}, {T.LAP} SELECT row, col, value FROM lap WHERE row < 9 AND col < 9")
 def grounded_laplacian(spark, d):
-    return G.grounded(G.laplacian(T.supplier_graph(spark, d)), 10)
+    return G.grounded(G.laplacian(T.supplier_graph(spark, d)), n_suppliers(spark, d))
 
 
 @query(f"WITH {T.NATION} SELECT u AS row, v AS col, abs(w - 50) AS value FROM nn WHERE u > v")

@@ -1,5 +1,7 @@
 """Queries of the catalog over whole small tables, against brute force."""
 
+import itertools
+
 import pytest
 
 from ohmgraph.operators import verify as V
@@ -26,3 +28,15 @@ def test_components_of_every_edge(spark, tmp_path, monkeypatch, at_once):
             want = [low if x in {want[s] for s in order} else x for x in want]
     got = {r.node: r.component for r in catalog.connected_components(spark, d).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_grounding_drops_only_the_last_node(spark, tmp_path):
+    orders = [(i, (7 * i + 1) % 30) for i in range(30)] + [(3, 29, 14), (28, 29)]
+    d = tables(spark, tmp_path, 30, orders)
+    want = {}
+    for order in orders:
+        for u, v in itertools.permutations(set(order), 2):
+            want[u, v] = want.get((u, v), 0) - 1
+            want[u, u] = want.get((u, u), 0) + 1
+    got = {(r.row, r.col): r.value for r in catalog.grounded_laplacian(spark, d).collect()}
+    assert got == {k: x for k, x in want.items() if max(k) < 29}
