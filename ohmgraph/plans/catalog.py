@@ -495,17 +495,19 @@ def streaming_resparsify(spark, d):
 
 @query()
 def experiment_basic(spark, d):
-    return X.run_grid(spark, "nation", nation_edges(spark, d), 25, X.basic_grid(), probes=20)
+    return X.run_grid(spark, "supplier", T.supplier_graph(spark, d), n_suppliers(spark, d), X.basic_grid())
 
 
 @query()
 def experiment_jl_dim(spark, d):
-    return X.run_grid(spark, "nation", nation_edges(spark, d), 25, X.jl_dim_grid(25), probes=20)
+    n = n_suppliers(spark, d)
+    return X.run_grid(spark, "supplier", T.supplier_graph(spark, d), n, X.jl_dim_grid(n))
 
 
 @query()
 def experiment_jl_scaling(spark, d):
-    return X.run_grid(spark, "nation", nation_edges(spark, d), 25, X.jl_scaling_grid(25), probes=20)
+    n = n_suppliers(spark, d)
+    return X.run_grid(spark, "supplier", T.supplier_graph(spark, d), n, X.jl_scaling_grid(n))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

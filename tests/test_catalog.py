@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import Row
 
 from ohmgraph.operators import verify as V
 from ohmgraph.plans import catalog
@@ -40,3 +41,17 @@ def test_grounding_drops_only_the_last_node(spark, tmp_path):
             want[u, u] = want.get((u, u), 0) + 1
     got = {(r.row, r.col): r.value for r in catalog.grounded_laplacian(spark, d).collect()}
     assert got == {k: x for k, x in want.items() if max(k) < 29}
+
+
+@pytest.mark.parametrize("name", ["basic", "jl_dim", "jl_scaling"])
+def test_experiments_run_on_all_suppliers(spark, tmp_path, monkeypatch, name):
+    d = tables(spark, tmp_path, 30, [(0, 1, 2), (27, 29), (5, 28)])
+    seen = []
+
+    def run_point(dataset, edges, n, p, probes=100, **extra):
+        seen.append((dataset, edges.count(), n, probes, extra.get("jl_dim", p.jl_dim(30)) == p.jl_dim(30)))
+        return Row(dataset=dataset), edges
+
+    monkeypatch.setattr(catalog.X, "run_point", run_point)
+    assert getattr(catalog, f"experiment_{name}")(spark, d).count() == len(seen) > 5
+    assert set(seen) == {("supplier", 5, 30, 100, True)}
