@@ -37,6 +37,42 @@ def test_random_texts(both, monkeypatch):
         assert own.encode(text) == other.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("slow", [False, True])
+def test_all_texts_at_once(both, monkeypatch, slow):
+    own, other = both
+    monkeypatch.setattr(own, "slow", set(own.vocab) if slow else own.slow)
+    monkeypatch.setattr(op4, "_PART", 40)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices(["an", "na", "é", " ", " the", "\n", "  ", "aa", "'s"], k=rnd.randint(0, 300))) for _ in range(200)]
+    memory = []
+    for some in (texts[:90], texts[90:], texts[:10], []):
+        ids, ends = own.encode_all(some, memory)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [other.encode_ordinary(x) for x in some]
+
+
+def test_unusual_ranks():
+    """Ranks by which a merge can bring up a pair of lower rank: as the plainest merging."""
+    ranks = {bytes([i]): 1000 + i for i in range(256)} | {b"aba": 1, b"ab": 7, b"bab": 3, b"abab": 5, b"cc": 9, b"ccc": 2, b"bb": 4}
+    own = op4.Bpe(b"\n".join(base64.b64encode(a) + b" %d" % b for a, b in ranks.items()), r"\S+| ")
+    assert own.slow
+
+    def plain(raw):
+        if raw in ranks:
+            return [ranks[raw]]
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(a + b, 10**6), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 10**6:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [ranks[x] for x in parts]
+
+    rnd = random.Random(9)
+    for _ in range(300):
+        text = "".join(rnd.choices("abc", k=rnd.randint(1, 14)))
+        assert own.encode(text) == plain(text.encode()), text
+
+
 def test_query_rows(spark, both):
     own, other = both
     docs = spark.createDataFrame([(1, "Hello, world", "x"), (2, None, "y"), (2, "", "z"), (None, "a b", "w")], "doc_id long, text string, ids string")
