@@ -21,9 +21,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_tag(text: str | Column = "text") -> Column:
-    """15 bits of the text: tells apart rows that share a doc_id."""
-    return F.pmod(F.xxhash64(text), F.lit(32768)).cast("int")
+def keyed(documents: DataFrame) -> DataFrame:
+    """(doc, t, text): the key, a 64-bit tag of the text that tells apart rows that share a doc_id, the text or "".
+
+    Where no doc_id is repeated, which is counted first, the tag is 0 throughout and costs no room."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    again = rows.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1).count()
+    return rows.select("doc", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("t"), "text")
+
+
+def free_name(*taken: list[str], stem: str = "own") -> str:
+    """A column name that none of the lists has, whatever their case."""
+    used = {x.lower() for names in taken for x in names}
+    return next(x for i in range(len(used) + 1) if (x := f"_{stem}{i or ''}") not in used)
 
 
 # --- Arrow blocks -----------------------------------------------------------
@@ -59,9 +69,11 @@ def ints(rb: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
     return (pc.fill_null(col, null) if col.null_count else col).to_numpy(zero_copy_only=False)
 
 
-# --- rolling hashes, modulo 2**64 -------------------------------------------
+# --- rolling hashes, modulo 2**64 and modulo a prime --------------------------
+# Modulo 2**64 alone some sequences collide for every base (Thue-Morse and its complement), modulo a prime they don't.
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+PRIME, _PRIME_BASE = (1 << 31) - 1, 742_938_285
 _pw = {"n": 0}
 BYTE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)
 _SEP = np.zeros(256, bool)
@@ -77,10 +89,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(m, base, np.uint64)
             x[0] = 1
             _pw[key] = np.cumprod(x)
+        for key, base in (("prime_up", _PRIME_BASE), ("prime_down", pow(_PRIME_BASE, -1, PRIME))):
+            x = np.ones(m, np.uint64)
+            done = 1
+            while done < m:  # powers from `done` on are those from 0 on, times base ** done
+                step = min(done, m - done)
+                x[done : done + step] = modulo(x[:step] * np.uint64(pow(base, done, PRIME)))
+                done += step
+            _pw[key] = x
         _pw["n"] = m
     return _pw["up"], _pw["down"]
 
 
+def modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    return x - x // np.uint64(PRIME) * np.uint64(PRIME)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = np.bitwise_xor(x, x >> np.uint64(33))
@@ -99,12 +124,17 @@ class Rolling:
         up, self.down = powers(n + 1)
         self.p = np.zeros(n + 1, np.uint64)
         np.cumsum(units * up[:n], out=self.p[1:])
+        self.units, self.q = units, None
 
     def at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.p[b] - self.p[a]) * self.down[a])
+        if self.q is None:  # sums of values under 2**31: their differences are exact
+            self.q = np.zeros(len(self.p), np.uint64)
+            np.cumsum(modulo((self.units >> np.uint64(34)) * _pw["prime_up"][: len(self.units)]), out=self.q[1:])
+        x = modulo(modulo(self.q[b] - self.q[a]) * _pw["prime_down"][a])
+        return mix((self.p[b] - self.p[a]) * self.down[a] + x * np.uint64(0xD6E8FEB86659FD93))
 
     def every(self, length: int) -> np.ndarray:
-        """Of every range of this length."""
+        """Of every range of this length, modulo 2**64 only: to pick ranges by, not to tell them apart."""
         m = len(self.p) - length
         if m <= 0:
             return np.empty(0, np.uint64)

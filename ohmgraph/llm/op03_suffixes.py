@@ -4,11 +4,12 @@ Which 100-byte strings occur twice is found on suffix arrays of the stretches of
 `repeats`): stretches that share an anchor come to one task, which joins them with sentinels, sorts the suffixes
 that are smaller than their successors, induces all others by scanning the buckets of first symbols, and compares
 adjacent suffixes. In each run of suffixes with a common prefix of `length` the earliest stays, the others go.
-Byte-identical stretches are reduced to the first before they are sent.
+Stretches of the same bytes are one string of the array, whose places stand for each of them. Blocks of text are
+reduced in the same way before anything is sent. No removal rests on a hash.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than `length` keep all; matches
 never cross texts; "earlier" is the smaller doc_id, then the earlier start (rows that repeat a doc_id follow in the
-order of a tag of their text, and identical rows count as one); rows with a null doc_id have no place in the order
+order of a 64-bit tag of their text, and identical rows count as one); rows with a null doc_id have no place in the order
 and keep all; an empty table gives an empty table; further columns are not looked at.
 """
 
@@ -29,8 +30,8 @@ LENGTH, GRAM = 100, 20
 CHUNK = 1 << 20
 #: Symbols packed in one sort key (9 bits each).
 _PACK = 7
-_TODO = "k long, doc long, t int, s int, n int, kind byte, stretch binary"
-_TODO_BATCH = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int32()), ("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int8()), ("stretch", pa.binary())])
+_TODO = "k long, doc long, t long, s int, n int, kind byte, stretch binary"
+_TODO_BATCH = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int8()), ("stretch", pa.binary())])
 
 
 def _packed(s: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -42,10 +43,11 @@ def _packed(s: np.ndarray, left: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray) -> np.ndarray:
+def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray, depth_needed: int = 1 << 62) -> np.ndarray:
     """Order of all suffixes of s. Symbol 0 ends each string; left: symbols before that end; key: see _packed.
 
-    Suffixes compare up to their sentinel; equal ones keep the order of their sentinels.
+    Suffixes compare up to their sentinel; equal ones keep the order of their sentinels. Those that agree in their
+    first depth_needed symbols may come in any order.
     """
     n = len(s)
     step = np.zeros(n, np.int8)
@@ -63,7 +65,7 @@ def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray) -> np.ndarray
     depth = _PACK
     group = np.cumsum(~tied)
     live = np.arange(len(order))
-    while True:  # suffixes that agree so far are sorted by their next symbols
+    while depth < depth_needed:  # suffixes that agree so far are sorted by their next symbols
         same = np.zeros(len(live), bool)
         same[1:] = group[1:] == group[:-1]
         keep = same.copy()
@@ -126,20 +128,52 @@ def common_prefix_at_least(sa: np.ndarray, left: np.ndarray, key: np.ndarray, le
 def repeated_windows(stretches: list[bytes], order: np.ndarray, length: int) -> np.ndarray:
     """Per place in the joined stretches (each ended by a sentinel): whether a window starts there that also starts
     at a place of smaller order."""
-    lens = np.fromiter(map(len, stretches), np.int64, len(stretches))
-    raw = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
+    strings: dict[bytes, int] = {}
+    which = np.fromiter((strings.setdefault(x, len(strings)) for x in stretches), np.int64, len(stretches))
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     ends = np.cumsum(lens + 1) - 1
     s = raw.astype(np.int16) + 1
     s[ends] = 0
     left = np.repeat(ends, lens + 1) - np.arange(len(s))
     key = _packed(s, left)
-    sa = suffix_array(s, left, key)
-    run = np.cumsum(~common_prefix_at_least(sa, left, key, length)) - 1
-    o = order[sa]
-    least = np.minimum.reduceat(o, np.flatnonzero(np.diff(run, prepend=-1)))
-    out = np.zeros(len(s), bool)
-    out[sa] = o > least[run]
-    return out
+    sa = suffix_array(s, left, key, length)
+    run = np.empty(len(s), np.int64)
+    run[sa] = np.cumsum(~common_prefix_at_least(sa, left, key, length))
+    if len(strings) < len(stretches):  # a string's places stand for all its stretches
+        places = C.spread((ends - lens)[which], lens[which] + 1)
+        run, left = run[places], left[places]
+    least = np.full(int(run.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, run, order)
+    return (order > least[run]) & (left >= length)
+
+
+def judge_stretches(texts: list[bytes], rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, its place in it) of every window that starts earlier too; rank: of the text, start: in it."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    at = C.spread(start, lens)
+    stretch = np.repeat(np.arange(len(texts)), lens)
+    hit = np.flatnonzero(repeated_windows(texts, (rank[stretch] << 34) | at, length))
+    return stretch[hit], at[hit] - start[stretch[hit]]
+
+
+def _decide(length: int):
+    """For repeats.runs: suffix arrays over runs that look alike, in chunks that part no anchor."""
+
+    def decide(data, roll, offs, d, s, n, h, doc, rank):
+        out = np.zeros(int(n.sum()), bool)
+        where = np.concatenate(([0], np.cumsum(n)))  # windows before each run
+        o = np.argsort(h, kind="stable")
+        lens = n[o] + length - 1
+        chunk = np.cumsum(lens) // CHUNK
+        chunk = chunk[np.searchsorted(h[o], h[o])]  # that of the anchor's first run
+        for part in np.split(o, np.flatnonzero(np.diff(chunk)) + 1):
+            texts = [data[a : a + m + length - 1].tobytes() for a, m in zip(s[part].tolist(), n[part].tolist())]
+            i, p = judge_stretches(texts, rank[d[part]], (s - offs[d])[part], length)
+            out[where[part[i]] + p] = True
+        return out
+
+    return decide
 
 
 def _stretches(length: int):
@@ -151,23 +185,22 @@ def _stretches(length: int):
             back = np.empty(len(doc), np.int64)
             back[rank] = np.arange(len(doc))
             span = [np.empty(0, np.int64)] * 4
+            kinds = np.full(len(d), R.RUN)
             if hot.any():  # one window at a time, each under its own key; a block sends the first of equal ones
-                hs, hn = s[hot], n[hot]
-                at, hd, hk = C.spread(hs, hn), np.repeat(d[hot], hn), np.repeat(k[hot], hn)
+                hs, hn, hd = s[hot], n[hot], d[hot]
+                again = _decide(length)(data, None, offs, hd, hs, hn, k[hot], doc, rank)
+                at, hd = C.spread(hs, hn), np.repeat(hd, hn)
+                span = R._spans(rank, back, doc, t, hd[again], (at - offs[hd])[again], (at - offs[hd])[again] + length)
+                at, hd = at[~again], hd[~again]
                 w = C.Rolling(C.BYTE[data]).at(at, at + length)
-                at_in = at - offs[hd]
-                o, head = R.first_of(w, np.zeros(len(w), np.int64), rank[hd], at_in)
-                again = R._later(rank[hd], at_in, doc[hd], o, head, False)
-                x = o[again]
-                span = R._spans(rank, back, doc, t, hd[x], at_in[x], at_in[x] + length)
-                o = o[~again]
-                d, s, n = (np.concatenate(p) for p in ((d[~hot], hd[o]), (s[~hot], at[o]), (n[~hot], np.ones(len(o), np.int64))))
-                k = np.concatenate((k[~hot], R._signed(w[o])))
+                d, s, n = (np.concatenate(p) for p in ((d[~hot], hd), (s[~hot], at), (n[~hot], np.ones(len(at), np.int64))))
+                kinds = np.repeat([R.RUN, R.HOT], [int((~hot).sum()), len(at)])
+                k = np.concatenate((k[~hot], R._signed(w)))
             lens = n + length - 1
             offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
             body = pa.BinaryArray.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[C.spread(s, lens)].tobytes())])
             sk, _, sd, st, ss, sn, _ = R._span_part(*span)
-            cols = [np.concatenate(p) for p in ((sk, k), (sd, doc[d]), (st, t[d]), (ss, s - offs[d]), (sn, n), (np.zeros(len(sk)), np.ones(len(d))))]
+            cols = [np.concatenate(p) for p in ((sk, k), (sd, doc[d]), (st, t[d]), (ss, s - offs[d]), (sn, n), (np.zeros(len(sk)), kinds))]
             arrays = [pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(cols, _TODO_BATCH)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.concat_arrays([pa.nulls(len(sk), pa.binary()), body])], schema=_TODO_BATCH)
 
@@ -187,11 +220,8 @@ def _compare(length: int):
             back = np.empty(len(doc), np.int64)
             back[rank] = np.arange(len(doc))
             texts = tb.column("stretch").take(pa.array(i)).to_pylist()
-            lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            row = np.repeat(np.arange(len(texts)), lens)
-            at = C.spread(s, lens)
-            hit = np.flatnonzero(repeated_windows(texts, (rank[row] << 34) | at, length))
-            r, x, e = R.merged(rank[row[hit]], at[hit], at[hit] + length)
+            r, p = judge_stretches(texts, rank, s, length)
+            r, x, e = R.merged(rank[r], s[r] + p, s[r] + p + length)
             spans.append((doc[back[r]], t[back[r]], x, e))
         cols = [np.concatenate([p[j] for p in spans]) for j in range(4)]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(cols, R._SPANS)], schema=R._SPANS)
@@ -220,12 +250,16 @@ def _compare(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, t, s, e): byte ranges covered by strings of this length that start earlier too. docs: (doc, t, text)."""
-    seen = C.materialize(R.judged(docs, length, gram, words=False, across=False))
+    seen = C.materialize(R.judged(docs, length, gram, words=False, across=False, decide=_decide(length)))
     todo = R.with_text(docs, seen.where("n is not null").select("doc", "t", "s", "n", "k", "hot"), "todo", "inner")
     sent = todo.mapInArrow(_stretches(length), _TODO)
-    # a single window of a hot anchor that nothing shares a key with can't repeat: most are dropped here
-    met = sent.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("k"))).where((F.col("kind") == R.SPAN) | (F.col("met") > 1)).drop("met")
-    more = met.sortWithinPartitions("k").mapInArrow(_compare(length), "doc long, t int, s int, e int")
+    # single windows of hot anchors: those that meet no other can't repeat, the others are judged in lots, with the first
+    of, hot = Window.partitionBy("k"), F.col("kind") == R.HOT
+    placed = sent.withColumn("met", F.count(F.lit(1)).over(of)).withColumn("nth", F.row_number().over(of.orderBy("doc", "t", "s")) - 1).where(~hot | (F.col("met") > 1))
+    lots = F.sequence(F.lit(0), F.floor((F.col("met") - 1) / R.MEMBERS))
+    lot = F.when(~hot, F.array(F.lit(0).cast("long"))).when(F.col("nth") == 0, lots).otherwise(F.array(F.floor(F.col("nth") / R.MEMBERS)))
+    met = placed.withColumn("lot", F.explode(lot)).withColumn("k", F.when(F.col("lot") > 0, F.xxhash64("k", "lot")).otherwise(F.col("k")))
+    more = met.drop("met", "nth", "lot").sortWithinPartitions("k").mapInArrow(_compare(length), "doc long, t long, s int, e int")
     return seen.where("n is null").select("doc", "t", "s", "e").unionByName(more)
 
 
@@ -260,7 +294,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, a row for each row."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), C.text_tag().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = C.keyed(documents)
     docs = rows.where("doc is not null")
     spans = repeated_spans(docs, length, gram)
     joined = R.with_text(docs, spans, "gone", "left").withColumnRenamed("doc", "doc_id")

@@ -1,8 +1,9 @@
 """Substring dedup over words: repeated windows of fixed length, by Rabin-Karp hashes counted in Spark.
 
 Every window of `length` words has a Rabin-Karp hash. Windows whose anchor (see `repeats`) occurs in one place
-only cannot repeat and are not sent; the hashes of all others are counted in Spark, and the windows that a smaller
-doc_id has too merge into maximal removal intervals.
+only cannot repeat and are not sent. The hashes of all others are counted in Spark, a window being known by the 64-bit
+hash of its anchor and its own 64-bit hash (modulo 2**64 and modulo a prime); a block sends only the least document of
+a window that it has several times. Windows that a smaller doc_id has too merge into maximal removal intervals.
 
 Defined results: a null or empty text has no words and nothing removed; texts shorter than the window keep all;
 copies within one document do not count (`across=True`); of equal doc_ids none comes before the other; a null
@@ -25,38 +26,71 @@ from . import repeats as R
 WINDOW, GRAM = 50, 12
 
 
+def _repeated(w: np.ndarray, h: np.ndarray, rank: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each window is also in a smaller doc of the block."""
+    o, head = R.first_of(w, h, rank, at)
+    out = np.zeros(len(o), bool)
+    out[o] = doc[o] > doc[o][head]
+    return out
+
+
+def _decide(length: int):
+    """For repeats.runs: windows counted by their hashes."""
+
+    def decide(data, roll, first, d, s, n, h, doc, rank):
+        at, d, h = C.spread(s, n), np.repeat(d, n), np.repeat(h, n)
+        return _repeated(roll.at(at, at + length), h, rank[d], doc[d], at)
+
+    return decide
+
+
+_HASHES = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+
+
 def _windows(length: int):
+    """mapInArrow function: (doc, t, text, todo) to (k, doc, t, s, e, hashes): the hashes of the windows from s on, or,
+    without hashes, spans that are repeats."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb, data, offs in C.blocks(batches):
             doc, t = C.ints(rb, "doc"), C.ints(rb, "t")
             u, first = R.units_of(data, offs, True)
             d, s, n, k, hot = R.expanded(rb, first)
-            k = np.where(hot, 0, k)  # a hot anchor's runs come under several keys
-            at, d, k = C.spread(s, n), np.repeat(d, n), np.repeat(k, n)
-            w = C.Rolling(u).at(at, at + length)
-            at = at - first[d]
+            roll = C.Rolling(u)
             rank = R.order_of(doc, t)
             back = np.empty(len(doc), np.int64)
             back[rank] = np.arange(len(doc))
-            o, head = R.first_of(w, k.view(np.uint64), rank[d], at)
-            again = R._later(rank[d], at, doc[d], o, head, True)
-            x = o[again]
-            o = o[~again]
-            span = R._spans(rank, back, doc, t, d[x], at[x], at[x] + length)
-            yield R._rows(R._span_part(*span), (R._signed(w[o]), k[o], doc[d[o]], t[d[o]], at[o], np.ones(len(o)), np.full(len(o), R.RUN)))
+            span = [np.empty(0, np.int64)] * 4
+            if hot.any():  # one window at a time, each under its own key; a block sends only the least doc of equal ones
+                hn = n[hot]
+                at, hd = C.spread(s[hot], hn), np.repeat(d[hot], hn)
+                w = roll.at(at, at + length)
+                x = _repeated(w, np.zeros(len(w), np.int64), rank[hd], doc[hd], at)
+                span = R._spans(rank, back, doc, t, hd[x], (at - first[hd])[x], (at - first[hd])[x] + length)
+                at, hd, w = at[~x], hd[~x], w[~x]
+                d, s, n, k = (np.concatenate(p) for p in ((d[~hot], hd), (s[~hot], at), (n[~hot], np.ones(len(at), np.int64)), (k[~hot], w.view(np.int64))))
+            at = C.spread(s, n)
+            hashes = roll.at(at, at + length)
+            sk, _, sd, st, ss, sn, _ = R._span_part(*span)
+            cols = [np.concatenate(p) for p in ((sk, k), (sd, doc[d]), (st, t[d]), (ss, s - first[d]), (ss + sn, np.zeros(len(d))))]
+            arrays = [pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(cols, _HASHES)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(len(sk)), [0], np.cumsum(n))).astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*arrays, lists], schema=_HASHES)
 
     return work
 
 
 def repeated_spans(docs: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, t, s, e): word ranges covered by windows that a smaller doc also has. docs: (doc, t, text), no null."""
-    seen = C.materialize(R.judged(docs, length, gram, words=True, across=True))
+    seen = C.materialize(R.judged(docs, length, gram, words=True, across=True, decide=_decide(length)))
     todo = R.with_text(docs, seen.where("n is not null").select("doc", "t", "s", "n", "k", "hot"), "todo", "inner")
-    counted = todo.mapInArrow(_windows(length), R._RUNS).withColumn("least", F.min("doc").over(Window.partitionBy("k", "c")))
-    more = counted.where((F.col("kind") == R.SPAN) | (F.col("doc") > F.col("least"))).select(
-        "doc", "t", "s", F.when(F.col("kind") == R.SPAN, F.col("s") + F.col("n")).otherwise(F.col("s") + length).alias("e")
-    )
-    return seen.where("n is null").select("doc", "t", "s", "e").unionByName(more)
+    runs = todo.mapInArrow(_windows(length), "k long, doc long, t long, s int, e int, hashes array<long>").repartition("k")
+    # the windows of a run are dealt by its key, so counting them needs no further exchange
+    each = runs.where("e = 0").select("k", "doc", "t", "s", F.posexplode("hashes").alias("i", "w"))
+    counted = each.withColumn("least", F.min("doc").over(Window.partitionBy("k", "w"))).where("doc > least")
+    more = counted.select("doc", "t", (F.col("s") + F.col("i")).alias("s"), (F.col("s") + F.col("i") + length).alias("e"))
+    spans = runs.where("e > 0").select("doc", "t", "s", "e")
+    return seen.where("n is null").select("doc", "t", "s", "e").unionByName(spans).unionByName(more)
 
 
 def _cut(with_text: bool):
@@ -88,7 +122,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def remove_repeats(documents: DataFrame, length: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text, a row for each row of documents."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), C.text_tag().alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = C.keyed(documents)
     docs = rows.where("doc is not null")
     spans = repeated_spans(docs, length, gram)
     joined = R.with_text(docs, spans, "gone", "left").withColumnRenamed("doc", "doc_id")

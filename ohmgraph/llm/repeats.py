@@ -1,18 +1,19 @@
-"""Find every window of fixed length that also occurs earlier, without a row per window.
+"""Where windows of fixed length can occur twice, without a row per window.
 
 A window is `length` consecutive units (bytes or words) of one text. Every window is given the anchor it
 contains: the leftmost gram of `gram` units whose hash is least. Neighbouring windows share their anchor, so a
 text of n units makes about 2n / (length - gram + 2) runs of windows. Equal windows have equal anchors, hence a
-run whose anchor occurs nowhere else holds no repeated window. That leaves three cases:
+run whose anchor occurs nowhere else holds no repeated window and is not sent. Hashes only route: which windows of the
+other runs are repeats is decided by the operator, in two places.
 
-* equal runs (same anchor, same units): all but the first are repeats as a whole;
-* different runs at one anchor: their first ones are compared window by window (`compare` below);
-* the rest is dropped.
+* In a block of texts, runs that look alike (same anchor, same hash of the units) are judged at once; runs of which
+  every window is a repeat there go no further. So a block sends one run of a group of copies.
+* Over all blocks, the runs of an anchor meet under its key. Runs that look alike form a class; of a class the first
+  `MEMBERS` go under the key, the others, which only the first can make repeats, in lots of that many with it.
 
-Blocks of texts are reduced before the shuffle: of equal runs in a block only the first is sent, and an anchor
-with many different runs in one block sends `FEW` of them under the anchor and the others, marked, under the run's
-own key; such an anchor is treated as hot everywhere: its runs are compared one window at a time, each window under
-a key of its own. So no key gathers the rows of a common line or of a large group of copies. Nothing is dropped.
+An anchor with more than `FEW` different runs in one block (the others travel under keys of their own), or with more
+than `MANY` classes, is hot: the first runs of its classes are compared one window at a time, each window under a key of
+its own. So no key gathers the rows of a common line or of a large group of copies, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from . import common as C
 
 #: Different runs of one anchor that a block sends under the anchor itself.
 FEW = 8
+#: Runs of a class in one lot; classes of an anchor that meet under its key.
+MEMBERS, MANY = 64, 512
 SPAN, RUN, HOT, HOTTER = 0, 1, 2, 3
-_RUNS = "k long, c long, doc long, t int, s int, n int, kind byte"
-_BATCH = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("t", pa.int32()), ("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
-_SPANS = pa.schema([("doc", pa.int64()), ("t", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+_RUNS = "k long, c long, doc long, t long, s int, n int, kind byte"
+_BATCH = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
+_SPANS = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 def slide_argmin(v: np.ndarray, width: int) -> np.ndarray:
@@ -92,20 +95,16 @@ def first_of(key: np.ndarray, other: np.ndarray, rank: np.ndarray, s: np.ndarray
     return o, np.repeat(at, np.diff(np.append(at, len(o))))
 
 
-def _later(rank, s, doc, o, at, across: bool) -> np.ndarray:
-    """Whether each row in order o is a repeat of the first of its group."""
-    if across:
-        return doc[o] > doc[o][at]
-    r, p = rank[o], s[o]
-    return (r > r[at]) | ((r == r[at]) & (p > p[at]))
-
-
 def _spans(rank, row_of_rank, doc, t, d, s, e):
     r, s, e = merged(rank[d], s, e)
     d = row_of_rank[r]
     return doc[d], t[d], s, e
 
 
+def spans_of(span: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(span, _SPANS)], schema=_SPANS)
+
+
 def _rows(*parts: tuple) -> pa.RecordBatch:
     cols = [np.concatenate([np.asarray(p[i]).astype(f.type.to_pandas_dtype(), copy=False) for p in parts]) for i, f in enumerate(_BATCH)]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BATCH)], schema=_BATCH)
@@ -120,7 +119,12 @@ def _span_part(doc, t, s, e):
     return k, np.zeros_like(k), doc, t, s, e - s, np.zeros(len(k), np.int8)
 
 
-def runs(length: int, gram: int, words: bool, across: bool) -> Callable:
+#: decide(data, units, bounds of the rows in units, row, start, number of windows and anchor hash of runs, doc and rank
+#: of rows) -> for every window of these runs, whether it is a repeat among them
+Decide = Callable[[np.ndarray, C.Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def runs(length: int, gram: int, words: bool, decide: Decide) -> Callable:
     """mapInArrow function: (doc, t, text) to the runs of each block, and to the spans repeated within it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +149,22 @@ def runs(length: int, gram: int, words: bool, across: bool) -> Callable:
             s, n, a = at[i], np.diff(np.append(i, len(at))), a[i]
             d, h = row[s], grams[a]
             c = roll.at(s, s + n - 1 + length) ^ C.mix(((a - s) * 4096 + n).astype(np.uint64))
-            s = s - first[d]
             rank = order_of(doc, t)
             row_of_rank = np.empty(len(doc), np.int64)
             row_of_rank[rank] = np.arange(len(doc))
             o, head = first_of(h, c, rank[d], s)
-            again = _later(rank[d], s, doc[d], o, head, across)
-            x = o[again]
-            span = _spans(rank, row_of_rank, doc, t, d[x], s[x], s[x] + n[x] - 1 + length)
-            o, head = o[~again], head[~again]
+            size = np.bincount(head, minlength=len(o))[head]
+            x = o[size > 1]  # runs that look alike
+            span = [np.empty(0, np.int64)] * 4
+            whole = np.zeros(len(s), bool)
+            if len(x):
+                again = decide(data, roll, first, d[x], s[x], n[x], h[x], doc, rank)
+                places, of = C.spread(s[x], n[x]), np.repeat(d[x], n[x])
+                span = _spans(rank, row_of_rank, doc, t, of[again], (places - first[of])[again], (places - first[of])[again] + length)
+                whole[x] = np.bincount(np.repeat(np.arange(len(x)), n[x])[again], minlength=len(x)) == n[x]
+            s = s - first[d]
+            keep = ~whole[o]
+            o, head = o[keep], head[keep]
             # how many different runs of its anchor come before each
             hk = h[o]
             fresh = np.ones(len(o), bool)
@@ -172,26 +183,34 @@ def runs(length: int, gram: int, words: bool, across: bool) -> Callable:
     return work
 
 
-def judged(docs: DataFrame, length: int, gram: int, words: bool, across: bool) -> DataFrame:
-    """(doc, t, s, e, k, n, hot): spans [s, e) of units that are repeats (n null), and runs still to compare (n windows)."""
-    found = docs.mapInArrow(runs(length, gram, words, across), _RUNS)
-    of_key, of_run = Window.partitionBy("k"), Window.partitionBy("k", "c")
-    where = F.struct("doc", "t", "s")
+def judged(docs: DataFrame, length: int, gram: int, words: bool, across: bool, decide: Decide) -> DataFrame:
+    """(doc, t, s, e, k, n, hot): spans [s, e) of units that are repeats (n null), and runs to compare: n windows from s
+    on, under the key k or, if hot, each under a key of its own. across: only texts of a smaller doc make a repeat."""
+    found = docs.mapInArrow(runs(length, gram, words, decide), _RUNS)
+    of_key, of_class = Window.partitionBy("k"), Window.partitionBy("k", "c")
+    is_span = F.col("kind") == SPAN
     seen = (
-        found.withColumn("first", F.min(where).over(of_run))
-        .withColumn("least", F.min("c").over(of_key))
-        .withColumn("most", F.max("c").over(of_key))
-        .withColumn("hot", F.max("kind").over(of_key) >= HOT)
+        found.withColumn("nth", F.row_number().over(of_class.orderBy("doc", "t", "s")) - 1)
+        .withColumn("last", F.count(F.lit(1)).over(of_class) - 1)
+        .withColumn("runs", F.sum((~is_span).cast("int")).over(of_key))
+        .withColumn("hot", (F.max("kind").over(of_key) >= HOT) | (F.sum(((F.col("nth") == 0) & ~is_span).cast("int")).over(of_key) > MANY))
     )
-    later = F.col("doc") > F.col("first.doc") if across else where > F.col("first")
-    done = (F.col("kind") == SPAN) | later
+    lot = lambda n: F.xxhash64("k", "c", n)
+    place = lambda k, hot: F.struct(k.alias("k"), hot.alias("hot"))
+    n_lot, no = F.floor(F.col("nth") / MEMBERS), F.lit(False)
+    # the first run of a class goes under the key and along with every further lot
+    lots = F.transform(F.sequence(F.lit(0), F.floor(F.col("last") / MEMBERS)), lambda i: place(F.when(i > 0, lot(i)).otherwise(F.when(F.col("hot"), lot(i)).otherwise(F.col("k"))), no))
+    firsts = F.when(~F.col("hot"), lots).otherwise(F.concat(F.array(place(F.col("k"), F.lit(True))), F.when(F.col("last") > 0, lots).otherwise(F.slice(lots, 1, 0))))
+    member = F.array(place(F.when((n_lot > 0) | F.col("hot"), lot(n_lot)).otherwise(F.col("k")), no))
+    none = F.array(F.struct(F.lit(None).cast("long").alias("k"), F.lit(None).cast("boolean").alias("hot")))
+    # a run of the same doc as its class's first may be a repeat of what the first is a repeat of, so it goes along
+    along = (F.col("doc") == F.min("doc").over(of_class)) if across else F.lit(False)
+    seen = seen.withColumn("along", along)
+    to = F.when(is_span, none).when(F.col("nth") == 0, firsts).when(F.col("along"), F.array(place(F.col("k"), F.col("hot")))).otherwise(member)
     return (
-        seen.where(done | (F.col("least") != F.col("most")) | F.col("hot"))
-        .select(
-            "doc", "t", "s",
-            F.when(F.col("kind") == SPAN, F.col("s") + F.col("n")).otherwise(F.col("s") + F.col("n") + (length - 1)).alias("e"),
-            F.when(~done, F.col("k")).alias("k"), F.when(~done, F.col("n")).alias("n"), F.when(~done, F.col("hot")).alias("hot"),
-        )
+        seen.where(is_span | (F.col("runs") > 1) | F.col("hot"))
+        .select("doc", "t", "s", F.when(is_span, F.col("s") + F.col("n")).alias("e"), F.when(~is_span, F.col("n")).alias("n"), F.explode(to).alias("to"))
+        .select("doc", "t", "s", "e", "n", "to.k", "to.hot")
     )
 
 

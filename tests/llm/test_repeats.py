@@ -56,18 +56,28 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("few", [1, 8])
+#: FEW, MEMBERS, MANY: everything hot, lots of two runs, and the usual way
+LIMITS = [(1, 64, 512), (8, 2, 512), (8, 64, 1), (8, 2, 1), (8, 64, 512)]
+
+
+def limited(monkeypatch, limits):
+    for name, value in zip(("FEW", "MEMBERS", "MANY"), limits):
+        monkeypatch.setattr(R, name, value)
+
+
+@pytest.mark.parametrize("limits", LIMITS, ids=str)
 @pytest.mark.parametrize("length,gram", [(20, 6), (12, 3)])
-def test_bytes_as_brute_force(spark, monkeypatch, length, gram, few):
-    monkeypatch.setattr(R, "FEW", few)
+def test_bytes_as_brute_force(spark, monkeypatch, length, gram, limits):
+    limited(monkeypatch, limits)
+    monkeypatch.setattr(op3, "CHUNK", 2000)
     docs = corpus(length)
     got = op3.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length, gram).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs, length)
 
 
-@pytest.mark.parametrize("few", [1, 8])
-def test_words_as_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(R, "FEW", few)
+@pytest.mark.parametrize("limits", LIMITS, ids=str)
+def test_words_as_brute_force(spark, monkeypatch, limits):
+    limited(monkeypatch, limits)
     docs = corpus(5)
     got = op5.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 6, 2).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(docs, 6)
@@ -82,6 +92,37 @@ def test_odd_rows(spark):
         assert run(docs.where("doc_id > 9")).count() == 0
 
 
+def test_many_texts_of_one_id(spark):
+    """1,500 different texts share a doc_id: the tag orders them for bytes; for words none comes before the other."""
+    rnd = random.Random(2)
+    line = " ".join(f"common{i}" for i in range(60))
+    texts = [(5, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(3, 70))) + (f" {line}" if i % 3 == 0 else "")) for i in range(1500)]
+    docs = spark.createDataFrame([*texts, (4, line), (6, line + " tail"), (6, line + " tail")], "doc_id long, text string").repartition(5)
+    tagged = [r.text for r in docs.where("doc_id = 5").selectExpr("text", "xxhash64(text) AS tag").orderBy("tag").collect()]
+    seen, want = set(), {}
+    for d, text in [(4, line), *((5, x) for x in tagged), (6, line + " tail")]:
+        raw = text.encode()
+        gone = np.zeros(len(raw), bool)
+        windows = [raw[i : i + 100] for i in range(len(raw) - 99)]
+        for i, w in enumerate(windows):
+            if w in seen:
+                gone[i : i + 100] = True
+            seen.add(w)
+        want[d, text] = int(gone.sum())
+    got = op3.remove_repeats(docs).collect()
+    assert len(got) == 1503 and sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted((d, len(x.encode()), want[d, x]) for d, x in [*texts, (4, line), (6, line + " tail"), (6, line + " tail")])
+    got = op5.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == sorted((d, len(x.split()), 60 if line in x and d > 4 else 0) for d, x in [*texts, (4, line), (6, line + " tail"), (6, line + " tail")])
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    word, other = "a", "b"
+    while len(word) < 2048:
+        word, other = word + other, other + word
+    docs = spark.createDataFrame([(i, " ".join([x] * 60)) for i, x in enumerate((word, other))], "doc_id long, text string")
+    assert [r.n_removed for r in op5.remove_repeats(docs).collect()] == [0, 0]
+
+
 def test_suffix_array_order():
     rnd = np.random.default_rng(1)
     strings = [bytes(rnd.integers(97, 99, rnd.integers(0, 40)).tolist()) for _ in range(60)]
