@@ -140,25 +140,29 @@ def _thresholds(sized: DataFrame, made: list[dict]) -> None:
 
 
 def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = SEED, shards: int = SHARDS, prefix: str = "") -> DataFrame:
-    """rows plus (each name with prefix) source_size, target, taken, shards (the shard of each time taken), spot."""
+    """rows plus (each name with prefix) source_size, target, taken, shards (the shard of each time taken), spot.
+
+    Columns of rows that have one of these names are replaced."""
     sized_ = C.materialize(rows.select(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), _hash(key, seed).alias("spot")))
     made = plan(sized_, seed, shards)
     _thresholds(sized_, made)
+    own, turns, ends_ = (C.free_name(rows.columns, stem=x) for x in ("source", "turns", "ends"))
     turn = "array<struct<a:long,b:long,full:long,first:long,cut:long,last:long>>"
     table = rows.sparkSession.createDataFrame(
         [(p["source"], p["source_size"], float(p["target"]), [(t["a"], t["b"], t["full"], t["first_draw"], t["cut"], -1 if t["last"] is None else t["last"]) for t in p["turns"]], p["ends"]) for p in made],
-        f"_source string, {prefix}source_size long, {prefix}target double, _turns {turn}, _ends array<long>",
+        f"{own} string, {prefix}source_size long, {prefix}target double, {turns} {turn}, {ends_} array<long>",
     )
     spot = F.col(f"{prefix}spot")
     block = F.floor(spot / _RANGE)
     at = lambda t: F.pmod(t["a"] * block + t["b"], F.lit(BLOCKS))
     hit = lambda t: (at(t) < t["full"]) | ((block == t["last"]) & (spot <= t["cut"]))
-    draws = F.transform(F.filter("_turns", hit), lambda t: t["first"] + at(t))
-    shard = F.transform(draws, lambda d: F.size(F.filter("_ends", lambda e: e <= d)))
+    draws = F.transform(F.filter(turns, hit), lambda t: t["first"] + at(t))
+    shard = F.transform(draws, lambda d: F.size(F.filter(ends_, lambda e: e <= d)))
     # one small row a source, as many as plan() has counted: a broadcast of bounded size
-    joined = rows.withColumn(f"{prefix}spot", _hash(key, seed)).join(F.broadcast(table), F.col(source).eqNullSafe(F.col("_source")), "left")
+    given = rows.drop(*(f"{prefix}{x}" for x in ("source_size", "target", "taken", "shards", "spot")))
+    joined = given.withColumn(f"{prefix}spot", _hash(key, seed)).join(F.broadcast(table), F.col(source).eqNullSafe(F.col(own)), "left")
     joined = joined.withColumn(f"{prefix}shards", shard)
-    return joined.withColumn(f"{prefix}taken", (F.col(size) * F.size(f"{prefix}shards")).cast("long")).drop("_source", "_turns", "_ends")
+    return joined.withColumn(f"{prefix}taken", (F.col(size) * F.size(f"{prefix}shards")).cast("long")).drop(own, turns, ends_)
 
 
 def dealt(mixed: DataFrame, prefix: str = "", partitions_per_shard: int | None = None) -> DataFrame:
@@ -183,5 +187,5 @@ def op2_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, shuffled within its shards, with all its columns."""
-    mixed = mix(docs.withColumn("_mix_size", words()), size="_mix_size", prefix="_mix_")
-    return dealt(mixed, "_mix_").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of all other names
+    return dealt(mix(docs.select("doc_id", "source", words().alias("size"), row))).select("row.*")

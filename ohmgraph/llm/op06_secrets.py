@@ -196,8 +196,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in the text replaced by a mark; n_chars follows the text."""
-    columns = docs.columns
-    out = scan(docs, fit(corpus_samples(docs))).withColumn("text", redacted("text", "_spans"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # out of the way of all other names
+    out = scan(docs.select("text", row), fit(corpus_samples(docs.select("doc_id", "text")))).withColumn("clean", redacted("text", "_spans"))
+    new = F.col("row").withField("text", F.col("clean"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.when(F.size("_spans") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(new.alias("row")).select("row.*")

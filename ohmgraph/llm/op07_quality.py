@@ -66,7 +66,10 @@ def features(column: dict[str, Column] | None = None) -> dict[str, Column]:
 
 def _same_before(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place: whether an equal (row, value) stands before it, and whether there is another at all."""
-    o = np.lexsort((value, row))
+    o = np.argsort(value)
+    group = np.empty(len(o), np.int64)
+    group[o] = np.cumsum(np.diff(value[o], prepend=value[o][:1]) != 0)
+    o = C.order_by(group, np.arange(len(o)))  # equal values by place, and so by row
     same = (row[o][1:] == row[o][:-1]) & (value[o][1:] == value[o][:-1])
     before, any_ = np.zeros(len(o), bool), np.zeros(len(o), bool)
     before[o[1:]] = same
@@ -213,6 +216,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    kept = judge(docs, C.read_table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag"))
+    key, tag = C.free_name(docs.columns, stem="key"), C.free_name(docs.columns, stem="tag")
+    kept = judge(docs, C.read_table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias(key), F.col("tag").alias(tag)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(tag))
     return docs.join(kept.hint("shuffle_hash"), same, "left_semi")

@@ -73,6 +73,28 @@ def test_stages_as_brute_force(spark, tmp_path):
     assert op7.ALPHA < 1
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns named like the stages' own: kept as they are."""
+    made = write(spark, tmp_path)[:60]
+    extra = "_turns _source _ends _a _m _k _h _c _id _tag _key _own _spans _base _assign _mix_size _mix_spot row size clean tag stratum quality kept doc t source_size target taken shards spot shard component_id n_shingles text_ a.b".split()
+    rows = [(*r, *(f"{r[0]}{x}" for x in extra)) for r in made]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[x] == f"{r.doc_id}{x}" for r in got for x in extra), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path / "full")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/full/{name}.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def _without(text):
     end = 0
     for m in ASSIGN.finditer(text):

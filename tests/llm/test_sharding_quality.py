@@ -49,6 +49,15 @@ def test_counts_as_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_lines_that_collide_modulo_a_power_of_two(spark):
+    line, other = "a", "b"
+    while len(line) < 4096:
+        line, other = line + other, other + line
+    texts = [f"{line}\n{other}", f"{line}\n{line}", f"{line} x\n{other} x", " ".join([line] * 5 + [other] * 5)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    assert {r.doc_id: [r[c] for c in op7._COUNTS] for r in op7.counts(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_binomial_bound():
     assert abs(op7.binomial_cdf(3, 10, 0.3) - 0.6496107184) < 1e-9
     assert abs(op7.binomial_cdf(0, 1000, 0.01) - 0.99**1000) < 1e-12
