@@ -11,10 +11,14 @@ about 3e-6. Verification counts the shingles of both whole texts.
 Documents with equal sets form a class first; only its smallest doc_id goes on. A bucket's members are compared with
 its smallest member and with the next in a random order of each band, which joins nearly all of a large group at two
 pairs a member and band at most. In buckets where more than one component is left, every member outside the largest
-is then held against all members of other components, in tiles of a bounded number of members: pairs whose sketches
-agree in `NEAR` of the bins (4 deviations below 0.8) are verified there, in the first band they share, and only links
+is then held against all members of other components, in tiles of a bounded number of members. Two sketches screen
+the pairs there, the one that has the bands (`NEAR` bins must agree) and a wider one of `WIDE` bins (`WIDE_NEAR`), each
+more than 6 deviations below 0.8, so that a pair of 0.8 is lost with probability under 1e-8, far less than banding
+loses; `screened=False` does without. What is left is verified, in the first band that the pair shares, and only links
 leave the task. Pairs inside a component, which can't change the result, are never made.
 
+The pairs of a document that has more than `FAN` of them are dealt by salt, each lot with its own copy of the text.
+
 Defined results: null and empty texts have no set and link with nothing; rows that repeat a doc_id are one node; a
 null doc_id has no component and is kept; an empty table gives an empty table; further columns are not looked at.
 """
@@ -34,8 +38,8 @@ from . import common as C
 SHINGLE, NUM, DEN = 4, 80, 100
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Bins of a pair's sketches that agree at least before its texts are compared; members of a tile.
-NEAR, TILE = int(0.675 * BINS), 400
+#: Bins of a pair's sketches that agree at least before its texts are compared; members of a tile; pairs of a lot.
+NEAR, WIDE, WIDE_NEAR, TILE, FAN = 96, 1024, 736, 800, 1000
 _SEED = 0x5851F42D4C957F2D
 
 
@@ -51,7 +55,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int, lower: bool = T
     roll = C.Rolling(C.word_hashes(data, starts, ends))
     h = np.concatenate((roll.at(at, at + width), C.mix(roll.at(first[short], first[short + 1]) + n[short].astype(np.uint64))))
     row = np.concatenate((row[at], short))
-    o = np.lexsort((h, row))
+    o = C.order_by(row, h)
     row, h = row[o], h[o]
     new = np.ones(len(o), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -133,7 +137,13 @@ def _verify(width: int):
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _held_against(width: int):
+def _wide(sets: list[np.ndarray]) -> np.ndarray:
+    """A byte for each of WIDE bins of the sets' sketches."""
+    lens = np.fromiter(map(len, sets), np.int64, len(sets))
+    return (C.mix(sketches(np.repeat(np.arange(len(sets)), lens), np.concatenate(sets), len(sets), WIDE)) >> np.uint64(56)).astype(np.uint8)
+
+
+def _held_against(width: int, screened: bool):
     """mapInArrow function over (key, i, j, band, apart, doc, comp, sketch, text), sorted by (key, i, j): rows that are
     apart against the others of their tile; the links between different components."""
 
@@ -141,15 +151,19 @@ def _held_against(width: int):
         get = lambda c: tb.column(c).to_numpy()
         doc, comp, apart, band = get("doc"), get("comp"), get("apart").astype(bool), int(get("band")[0])
         sketch = np.frombuffer(b"".join(tb.column("sketch").to_pylist()), np.uint16).reshape(len(doc), BINS)
-        every, out, sets = np.flatnonzero(~apart), [], None
+        every, out, sets, wide = np.flatnonzero(~apart), [], None, None
         own = sketch[every]
         for i in np.flatnonzero(apart):
             same = own == sketch[i]
-            k = np.flatnonzero((same.sum(axis=1) >= NEAR) & (comp[every] != comp[i]))
+            k = np.flatnonzero(((same.sum(axis=1) >= NEAR) | (not screened)) & (comp[every] != comp[i]))
             if len(k):  # told in the first band that both share
                 k = every[k[same[k].reshape(len(k), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]]
             if len(k):
-                sets = sets or _sets(tb.column("text").combine_chunks(), width)
+                if sets is None:
+                    sets = _sets(tb.column("text").combine_chunks(), width)
+                    wide = _wide(sets) if screened else None
+                if screened:
+                    k = k[(wide[k] == wide[i]).sum(axis=1) >= WIDE_NEAR]
                 out += [sorted((int(doc[i]), int(doc[x]))) for x in k if _similar(sets[i], sets[x])]
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], schema=_PAIR)
 
@@ -173,7 +187,7 @@ def _held_against(width: int):
     return work
 
 
-def _left_over(met: DataFrame, known: DataFrame, heads: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def _left_over(met: DataFrame, known: DataFrame, heads: DataFrame, texts: DataFrame, width: int, screened: bool) -> DataFrame:
     """Links between different components that share a bucket, as a table."""
     of = Window.partitionBy("key")
     placed = met.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
@@ -190,18 +204,21 @@ def _left_over(met: DataFrame, known: DataFrame, heads: DataFrame, texts: DataFr
     members = rows.select(*cols, F.lit(0).alias("apart"), F.pmod(spot, t).cast("int").alias("i"), F.explode(all_tiles(ta)).alias("j"))
     apart = rows.where("comp <> main").select(*cols, F.lit(1).alias("apart"), F.explode(all_tiles(t)).alias("i"), F.pmod(spot, ta).cast("int").alias("j"))
     both = members.unionByName(apart).select("key", "i", "j", "band", "apart", "doc", "comp", "sketch", "text")
-    return C.materialize(both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_held_against(width), "u long, v long"))
+    return C.materialize(both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_held_against(width, screened), "u long, v long"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (u, v) that are similar, as a table."""
-    left = texts.select(F.col("doc").alias("u"), F.col("text").alias("left"))
+    lots = F.ceil(F.col("n") / FAN).cast("int")
+    dealt = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("u"))).select("u", "v", F.pmod(F.xxhash64("v"), lots).cast("int").alias("lot"))
+    copies = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    left = texts.select(F.col("doc").alias("u"), F.col("text").alias("left")).join(copies.hint("shuffle_hash"), "u")
     right = texts.select(F.col("doc").alias("v"), F.col("text").alias("right"))
-    both = left.join(pairs.hint("shuffle_hash"), "u").join(right, "v").select("u", "v", "left", "right")
+    both = left.join(dealt.hint("shuffle_hash"), ["u", "lot"]).join(right, "v").select("u", "v", "left", "right")
     return C.materialize(both.mapInArrow(_verify(width), "u long, v long"))
 
 
-def near_duplicates(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = SHINGLE, screened: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents (doc_id, text)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     profile = C.materialize(docs.mapInArrow(_profile(width), "doc long, n_shingles long, a long, b long, bands array<long>, sketch binary"))
@@ -219,7 +236,7 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
     pairs = met.select("doc", other.alias("other")).where("doc <> other").select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v")).distinct()
     links = _links(pairs, texts, width)
     known = components(links)
-    more = _left_over(met, known, heads, texts, width)
+    more = _left_over(met, known, heads, texts, width, screened)
     if more.limit(1).count():
         known = components(links.unionByName(more))
     heads_in = classes.join(known.withColumnRenamed("node", "head"), "head", "left").select("a", "b", F.coalesce("component", "head").alias("component_id"))
@@ -237,8 +254,9 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, with all its columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    own = C.free_name(docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 ORACLE_SQL = r"""

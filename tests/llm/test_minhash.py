@@ -51,6 +51,39 @@ def test_components_as_brute_force(spark, monkeypatch, tile):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def thue_morse(n):
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    a, b = thue_morse(2048)
+    docs = [(i, " ".join(x + str(j) for j in range(20))) for i, x in enumerate((a, b))]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in op9.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
+
+
+@pytest.mark.parametrize("screened", [True, False])
+def test_templated_pages(spark, monkeypatch, screened):
+    """Pages of one template share buckets and don't link, but for pairs planted among them."""
+    monkeypatch.setattr(op9, "TILE", 60)
+    rnd = random.Random(4)
+    head = [f"h{i}" for i in range(160)]
+    docs = [(i, " ".join(head + [f"u{rnd.randint(0, 10**7)}" for _ in range(44)])) for i in range(240)]
+    docs += [(1000 + i, docs[i][1].rsplit(" ", 12)[0] + " " + " ".join(f"v{rnd.randint(0, 10**7)}" for _ in range(12))) for i in range(0, 240, 7)]
+    got = op9.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), screened=screened).collect()
+    want = brute(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) == 240
+
+
+def test_lots_of_a_hot_document(spark, monkeypatch):
+    monkeypatch.setattr(op9, "FAN", 3)
+    docs = corpus()
+    got = op9.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 1), (1, "a b c d e", 2), (2, "a b c d e", 3), (None, "a b c d e", 4), (3, None, 5)], "doc_id long, text string, doc int")
     got = sorted(((r.doc_id or -1), r.component_id, r.kept) for r in op9.near_duplicates(docs).collect())
