@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 #: Bytes that a task's earlier results may take, by a rough count; bytes of text in a chunk.
-REMEMBERED, CHUNK = 96 << 20, 16 << 20
+REMEMBERED, CHUNK = 48 << 20, 8 << 20
 #: Characters of a long text that are cut at once.
 _PART = 1 << 20
+#: Strings whose ids are looked up at once.
+_STEP = 1 << 16
 _SPOT = re.compile(r"(?<=\S) (?=\S)")
-_NONE = 1 << 40
+_NONE = (1 << 31) - 1
 
 
 class Numbers(dict):
@@ -71,7 +74,12 @@ class Results:
         """All ids of these strings in turn, and how many each has."""
         starts = self.ends[numbers]
         lens = self.ends[numbers + 1] - starts
-        return self.ids[C.spread(starts, lens)], lens
+        ends = np.cumsum(lens)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for lo in range(0, len(lens), _STEP):
+            hi = min(lo + _STEP, len(lens))
+            ids[ends[lo] - lens[lo] : ends[hi - 1]] = self.ids[C.spread(starts[lo:hi], lens[lo:hi])]
+        return ids, lens
 
 
 class Queue:
@@ -119,7 +127,7 @@ class Bpe:
         self.vocab = {b: a for a, b in self.ranks.items()}
         if any(bytes([i]) not in self.ranks for i in range(256)):
             raise ValueError("the ranks need every single byte")
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.end = max(self.vocab) + 1
         couples, slow = {}, set()
         for token, rank in self.ranks.items():
@@ -128,8 +136,8 @@ class Bpe:
             if any(max(x) > rank for x in halves) and not self._ascending(token):
                 slow.update(y for x in halves for y in x if y > rank)
         keys = sorted(couples)
-        self.couples = np.array([a * (self.end + 1) + b for a, b in keys] + [_NONE], np.int64)
-        self.made = np.array([couples[x] for x in keys] + [_NONE], np.int64)
+        self.couples = np.array([a * (self.end + 1) + b for a, b in keys] + [1 << 62], np.int64)
+        self.made = np.array([couples[x] for x in keys] + [_NONE], np.int32)
         self.slow = slow
 
     def _ascending(self, token: bytes) -> bool:
@@ -144,7 +152,7 @@ class Bpe:
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each couple of ids, _NONE where they don't merge."""
-        key = a * (self.end + 1) + b
+        key = a.astype(np.int64) * (self.end + 1) + b
         at = np.searchsorted(self.couples, key)
         at[at == len(self.couples)] = 0
         return np.where(self.couples[at] == key, self.made[at], _NONE)
@@ -155,13 +163,18 @@ class Bpe:
         raw = np.frombuffer(b"\0".join(tokens) + b"\0", np.uint8)
         ends = np.cumsum(lens + 1) - 1
         n = len(raw)
-        ids = np.append(self.single[raw], self.end)
+        place = np.int32 if n < 1 << 31 else np.int64
+        ids = np.full(n + 1, self.end, np.int32)
+        ids[:n] = self.single[raw]
         ids[ends] = self.end  # merges with nothing
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
-        rank = np.append(self._rank(ids[:-1], ids[1:]), _NONE)
+        after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+        rank = np.full(n + 1, _NONE, np.int32)
+        for lo in range(0, n, _PART):
+            hi = min(lo + _PART, n)
+            rank[lo:hi] = self._rank(ids[lo:hi], ids[lo + 1 : hi + 1])
         gone = np.zeros(n + 1, bool)
         queue = Queue()
-        at = np.flatnonzero(rank < _NONE)
+        at = np.flatnonzero(rank < _NONE).astype(place)
         queue.push(rank[at], at)
         while queue.top:
             r, p = queue.pop()
@@ -216,11 +229,15 @@ class Bpe:
         fresh = known.fresh()
         if not fresh:
             return
-        found = [*map(regex.compile(self.pattern).findall, fresh)]
-        numbers = np.fromiter(map(tokens.number.__getitem__, chain.from_iterable(found)), np.int64)
+        find, number = regex.compile(self.pattern).findall, tokens.number.__getitem__
+        numbers, counts = array("q"), array("q", [0])
+        for piece in fresh:
+            found = find(piece)
+            counts.append(len(found))
+            numbers.extend(map(number, found))
         self._tokens(tokens)
-        ids, lens = tokens.of(numbers)
-        ends = np.cumsum([0, *map(len, found)])
+        ids, lens = tokens.of(np.frombuffer(numbers, np.int64))
+        ends = np.cumsum(np.frombuffer(counts, np.int64))
         reach = np.concatenate(([0], np.cumsum(lens)))[ends]
         known.add(ids, np.diff(reach), sum(map(len, fresh)))
 
@@ -229,7 +246,7 @@ class Bpe:
         memory = [] if memory is None else memory
         memory[:] = memory or [Results(), Results()]
         pieces, tokens = memory
-        numbers, counts = [np.empty(0, np.int64)], [0]
+        numbers, counts = [np.empty(0, np.int32)], [0]
         for text in texts:
             n = 0
             for part in parts(text):
