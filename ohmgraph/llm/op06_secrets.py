@@ -18,6 +18,7 @@ doc_id are scanned row by row; an empty table gives an empty table; further colu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
 SAMPLE_DOCUMENTS, MARGIN, MEAN = 1000, 12.0, 0.6
+#: Matches of a text that are worked on at once.
+LOT = 128
 #: Characters of the models: code 43 (+) to 122 (z).
 _LOW, _WIDE = 43, 80
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -41,19 +44,35 @@ def _empty() -> Column:
     return F.expr(f"cast(array() as {_SPAN})")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _lots(items: Column) -> Column:
+    """An array, not empty, in slices of LOT: work within slices keeps long arrays from costing their square."""
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LOT).cast("int")), lambda i: F.slice(x, i * LOT + 1, F.lit(LOT))))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of some numbers, what those before it come to, from 0."""
+    step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)["out"]
+
+
 def _places(text: Column, hits: Column, pattern: str, kind: int) -> Column:
     """Spans of the matches: each starts after all pieces and matches before it."""
     gaps = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    steps = F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit")))
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"))),
-        ).alias("out"),
+        (acc["at"] + x["gap"] + x["hit"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["hit"]).alias("end")))).alias("out"),
     )
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _empty().alias("out")), step)
-    return F.when(F.size(hits) > 0, walked["out"]).otherwise(_empty())
+    total = lambda lot: F.aggregate(lot, F.lit(0), lambda a, x: a + x["gap"] + x["hit"])
+    walk = lambda lots, at: F.flatten(F.transform(lots, lambda lot, i: F.aggregate(lot, F.struct(F.get(at, i).alias("at"), _empty().alias("out")), step)["out"]))
+    spans = _let(_lots(steps), lambda lots: _let(_running(F.transform(lots, total), lambda a, x: a + x), lambda at: walk(lots, at)))
+    return F.when(F.size(hits) > 0, spans).otherwise(_empty())
 
 
 def _passing(spans: Column, hits: Column, ok) -> Column:
@@ -130,7 +149,7 @@ def corpus_samples(documents: DataFrame, size: int = SAMPLE_DOCUMENTS) -> DataFr
     """(text, random) from at most about `size` documents and as many generated digests."""
     spark = documents.sparkSession
     n = documents.count()
-    part = documents.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(max(1, math.ceil(n / size)))) == 0).select("text")
+    part = documents.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(max(1, math.ceil(n / size)))) == 0).select("text").distinct()
     found = with_base(part).select(
         "text", F.filter("_values", lambda v: (F.length(v) >= 16) & v.rlike("[0-9]")).alias("secrets"), F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{2,40}\b"), F.lit(0)).alias("words")
     )
@@ -161,7 +180,10 @@ def scan(rows: DataFrame, table: list[float], text: str = "text") -> DataFrame:
     rows = rows.withColumn("_c", F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
     rows = rows.withColumn("_m", _places(body, F.col("_c"), CANDIDATE, 3))
     more = _passing(F.col("_m"), F.col("_c"), lambda x: is_random(x, table))
-    apart = F.filter(more, lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    around = lambda lot: F.struct(lot[0]["start"].alias("start"), F.element_at(lot, -1)["end"].alias("end"))
+    clear = lambda lot: _let(F.filter("_base", lambda b: meet(b, around(lot))), lambda near: F.filter(lot, lambda m: ~F.exists(near, lambda b: meet(b, m))))
+    apart = _let(more, lambda m: F.when(F.size(m) > 0, F.flatten(F.transform(_lots(m), clear))).otherwise(_empty()))
     return rows.withColumn("_m", F.when(F.size("_c") > 0, apart).otherwise(_empty())).withColumn("_spans", F.array_sort(F.concat("_base", "_m"))).drop("_c", "_m")
 
 
@@ -173,12 +195,23 @@ def spelled(spans: str) -> Column:
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
     """text with each union of spans replaced by mark."""
     body = F.coalesce(F.col(text), F.lit(""))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))).alias("out"),
-    )
-    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, lambda acc: F.concat(acc["out"], F.array(F.substring(body, acc["at"] + 1, F.length(body)))))
-    return F.when(F.size(spans) > 0, F.array_join(walked, "")).otherwise(F.col(text))
+    most = lambda lot: F.array_max(F.transform(lot, lambda x: x["end"]))
+
+    def walk(lot: Column, at: Column) -> Column:
+        """The text from at on to the lot's last end."""
+
+        def pieces(part: Column) -> Column:
+            step = lambda acc, x: F.struct(
+                F.greatest(acc["at"], x["end"]).alias("at"),
+                F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(part, acc["at"] - at + 1, x["start"] - acc["at"]), F.lit(mark)))).alias("out"),
+            )
+            return F.array_join(F.aggregate(lot, F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step)["out"], "")
+
+        return _let(F.substring(body, at + 1, F.greatest(most(lot), at) - at), pieces)
+
+    joined = lambda lots, at: F.array_join(F.transform(lots, lambda lot, i: _let(F.get(at, i), lambda a: walk(lot, a))), "")
+    front = _let(_lots(F.col(spans)), lambda lots: _let(_running(F.transform(lots, most), lambda a, x: F.greatest(a, x)), lambda at: joined(lots, at)))
+    return F.when(F.size(spans) > 0, F.concat(front, F.substring(body, most(F.col(spans)) + 1, F.length(body)))).otherwise(F.col(text))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

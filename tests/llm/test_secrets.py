@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -37,7 +38,9 @@ def table(spark):
     return op6.fit(op6.corpus_samples(docs))
 
 
-def test_base_as_brute_force(spark, table):
+@pytest.mark.parametrize("lot", [1, 2, 128])
+def test_base_as_brute_force(spark, table, monkeypatch, lot):
+    monkeypatch.setattr(op6, "LOT", lot)
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     out = op6.scan(docs, table).select("doc_id", F.size("_assign"), F.size("_access"), F.size("_hex"), op6.spelled("_base").alias("b"), op6.spelled("_spans").alias("s"), op6.redacted("text", "_spans").alias("r")).collect()
     for r in out:
@@ -48,6 +51,23 @@ def test_base_as_brute_force(spark, table):
     assert out[2].r == "[SECRET]\"" and op6.scan(docs.where("doc_id > 99"), table).count() == 0
 
 
+def test_many_matches(spark, table):
+    """A text of many matches takes time in proportion."""
+    rnd = np.random.default_rng(3)
+    part = lambda i: rnd.choice(["token = abcdef%06d é" % i, "%032x 🙂" % (i * 7919), "AKIA%016d" % i, "plain words here", "Zq9X%sw7Lk2Pv8Rt4Yb" % i])
+    text = "\n".join(part(i) for i in range(16000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    r = op6.scan(docs, table).select(op6.spelled("_base").alias("b"), "_spans", op6.redacted("text", "_spans").alias("r")).first()
+    assert time.perf_counter() - began < 20 and r.b == brute(text)[1]
+    clean, end = [], 0
+    for x in r._spans:
+        if x.start >= end:
+            clean += [text[end : x.start], "[SECRET]"]
+        end = max(end, x.end)
+    assert r.r == "".join(clean) + text[end:]
+
+
 def test_held_out_accuracy(spark, table):
     rnd = np.random.default_rng(7)
     chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
