@@ -133,6 +133,10 @@ class Rolling:
         x = modulo(modulo(self.q[b] - self.q[a]) * _pw["prime_down"][a])
         return mix((self.p[b] - self.p[a]) * self.down[a] + x * np.uint64(0xD6E8FEB86659FD93))
 
+    def quick(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Modulo 2**64 only: to bring ranges together, not to tell them apart."""
+        return mix((self.p[b] - self.p[a]) * self.down[a])
+
     def every(self, length: int) -> np.ndarray:
         """Of every range of this length, modulo 2**64 only: to pick ranges by, not to tell them apart."""
         m = len(self.p) - length
@@ -156,8 +160,8 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(BYTE[data]).at(starts, ends) + (ends - starts).astype(np.uint64)
+def word_hashes(by_byte: Rolling, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return by_byte.at(starts, ends) + (ends - starts).astype(np.uint64)
 
 
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -168,5 +172,13 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(total)
 
 
+def order_by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Order by (major, minor); major: small integers from 0. Two plain sorts, much faster than a lexical one."""
+    n = len(major)
+    place = np.empty(n, np.int64)
+    place[np.argsort(minor)] = np.arange(n)
+    return np.argsort(major.astype(np.int64) * n + place)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

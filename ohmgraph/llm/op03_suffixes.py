@@ -46,8 +46,8 @@ def _packed(s: np.ndarray, left: np.ndarray) -> np.ndarray:
 def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray, depth_needed: int = 1 << 62) -> np.ndarray:
     """Order of all suffixes of s. Symbol 0 ends each string; left: symbols before that end; key: see _packed.
 
-    Suffixes compare up to their sentinel; equal ones keep the order of their sentinels. Those that agree in their
-    first depth_needed symbols may come in any order.
+    Suffixes compare up to their sentinel; those that are equal, or agree in their first depth_needed symbols, come in
+    any order.
     """
     n = len(s)
     step = np.zeros(n, np.int8)
@@ -58,7 +58,7 @@ def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray, depth_needed:
     at = np.minimum.accumulate(at[::-1])[::-1]
     small = step[at] > 0  # smaller than its successor: sorted directly
     direct = np.flatnonzero(small)
-    order = direct[np.argsort(key[direct], kind="stable")]
+    order = direct[np.argsort(key[direct])]
     k = key[order]
     tied = np.zeros(len(order), bool)
     tied[1:] = k[1:] == k[:-1]
@@ -76,7 +76,7 @@ def suffix_array(s: np.ndarray, left: np.ndarray, key: np.ndarray, depth_needed:
             break
         sub = order[live]
         nxt = key[np.minimum(sub + depth, n - 1)]
-        o = np.lexsort((nxt, group))
+        o = C.order_by(group, nxt)
         order[live] = sub[o]
         nxt = nxt[o]
         fresh = np.ones(len(live), bool)
@@ -158,11 +158,22 @@ def judge_stretches(texts: list[bytes], rank: np.ndarray, start: np.ndarray, len
 
 
 def _decide(length: int):
-    """For repeats.runs: suffix arrays over runs that look alike, in chunks that part no anchor."""
+    """For repeats.runs: a suffix array over the runs that look alike, neighbours joined; if they are too long for one,
+    several, which part no anchor."""
 
     def decide(data, roll, offs, d, s, n, h, doc, rank):
         out = np.zeros(int(n.sum()), bool)
         where = np.concatenate(([0], np.cumsum(n)))  # windows before each run
+        o = np.argsort(s)
+        joined = np.flatnonzero(np.diff(s[o], prepend=-1) != np.concatenate(([0], n[o][:-1])))
+        start, windows, of = s[o][joined], np.add.reduceat(n[o], joined), d[o][joined]
+        if int((windows + length - 1).sum()) <= 2 * CHUNK:
+            texts = [data[a : a + m + length - 1].tobytes() for a, m in zip(start.tolist(), windows.tolist())]
+            i, p = judge_stretches(texts, rank[of], start - offs[of], length)
+            hit = np.zeros(len(out), bool)  # windows by their place
+            hit[(np.cumsum(windows) - windows)[i] + p] = True
+            out[C.spread(where[:-1][o], n[o])] = hit
+            return out
         o = np.argsort(h, kind="stable")
         lens = n[o] + length - 1
         chunk = np.cumsum(lens) // CHUNK
@@ -192,7 +203,7 @@ def _stretches(length: int):
                 at, hd = C.spread(hs, hn), np.repeat(hd, hn)
                 span = R._spans(rank, back, doc, t, hd[again], (at - offs[hd])[again], (at - offs[hd])[again] + length)
                 at, hd = at[~again], hd[~again]
-                w = C.Rolling(C.BYTE[data]).at(at, at + length)
+                w = C.Rolling(C.BYTE[data]).quick(at, at + length)
                 d, s, n = (np.concatenate(p) for p in ((d[~hot], hd), (s[~hot], at), (n[~hot], np.ones(len(at), np.int64))))
                 kinds = np.repeat([R.RUN, R.HOT], [int((~hot).sum()), len(at)])
                 k = np.concatenate((k[~hot], R._signed(w)))

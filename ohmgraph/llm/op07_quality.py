@@ -97,13 +97,14 @@ def count_block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     row = np.where(end == offs[np.minimum(row, n)], np.searchsorted(offs, end, "left") - 1, row)
     has_word = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, row = begin[has_word], end[has_word], row[has_word]
-    hashes = C.Rolling(C.BYTE[data]).at(begin, end) + (end - begin).astype(np.uint64)
+    by_byte = C.Rolling(C.BYTE[data])
+    hashes = by_byte.at(begin, end) + (end - begin).astype(np.uint64)
     before, _ = _same_before(row, hashes)
     n_dup_lines = np.bincount(row[before], minlength=n)
     # five-word windows that the text has twice or more
     word_row = np.repeat(np.arange(n), n_words)
     at = np.flatnonzero(first[1:][word_row] - np.arange(len(starts)) >= REPEAT)
-    roll = C.Rolling(C.word_hashes(data, starts, ends))
+    roll = C.Rolling(C.word_hashes(by_byte, starts, ends))
     _, twice = _same_before(word_row[at], roll.at(at, at + REPEAT))
     cover = np.zeros(len(starts) + 1, np.int64)
     np.add.at(cover, at[twice], 1)

@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int, lower: bool = T
     row = np.repeat(np.arange(len(n)), n)
     at = np.flatnonzero(first[1:][row] - np.arange(len(row)) >= width)
     short = np.flatnonzero((n > 0) & (n < width))
-    roll = C.Rolling(C.word_hashes(data, starts, ends))
+    roll = C.Rolling(C.word_hashes(C.Rolling(C.BYTE[data]), starts, ends))
     h = np.concatenate((roll.at(at, at + width), C.mix(roll.at(first[short], first[short + 1]) + n[short].astype(np.uint64))))
     row = np.concatenate((row[at], short))
     o = C.order_by(row, h)
@@ -67,14 +67,16 @@ def sketches(row: np.ndarray, h: np.ndarray, rows: int, bins: int = BINS) -> np.
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full((rows, bins), top, np.uint64)
     flat = out.reshape(-1)
+    bits = (2 * bins).bit_length()  # of the round's number, in front of the value
     for i in range(2 * bins):
         if not len(h):
             break
         x = C.mix(h + np.uint64(_SEED * (i + 1) & 0xFFFFFFFFFFFFFFFF))
         spot = ((x >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64) if i < bins else i - bins
-        np.minimum.at(flat, row * bins + spot, (C.mix(x) >> np.uint64(10)) | np.uint64(i << 54))
-        keep = (out == top).any(axis=1)[row]
-        row, h = row[keep], h[keep]
+        np.minimum.at(flat, row * bins + spot, (C.mix(x) >> np.uint64(bits)) | np.uint64(i << (64 - bits)))
+        if i < 16 or i % (i // 8) == 0:  # more rounds than needed change nothing
+            keep = (out == top).any(axis=1)[row]
+            row, h = row[keep], h[keep]
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Different runs of one anchor that a block sends under the anchor itself.
-FEW = 8
+FEW = 64
 #: Runs of a class in one lot; classes of an anchor that meet under its key.
 MEMBERS, MANY = 64, 512
 SPAN, RUN, HOT, HOTTER = 0, 1, 2, 3
@@ -55,7 +55,7 @@ def units_of(data: np.ndarray, offs: np.ndarray, words: bool) -> tuple[np.ndarra
     if not words:
         return C.BYTE[data], offs
     starts, ends, first = C.word_bounds(data, offs)
-    return C.word_hashes(data, starts, ends), first
+    return C.word_hashes(C.Rolling(C.BYTE[data]), starts, ends), first
 
 
 def order_of(doc: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.
     """Unions of the intervals [s, e) of each d."""
     if not len(d):
         return d, s, e
-    o = np.lexsort((s, d))
+    o = np.argsort((d.astype(np.int64) - d.min()) * (int(s.max()) + 1) + s)
     d, s, e = d[o], s[o], e[o]
     # ends can fall behind an earlier, longer interval: take the running maximum within d
     base = d.astype(np.int64) - d.min()
@@ -87,7 +87,14 @@ def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.
 
 def first_of(key: np.ndarray, other: np.ndarray, rank: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal (key, other) together, each by (rank, s), and for each place in it that of its first."""
-    o = np.lexsort((s, rank, other, key))
+    n = len(s)
+    when = np.empty(n, np.int64)
+    when[C.order_by(rank, s)] = np.arange(n)
+    both = C.mix(key.view(np.uint64)) + other.view(np.uint64)
+    o = np.argsort(both)
+    group = np.empty(n, np.int64)
+    group[o] = np.cumsum(np.diff(both[o], prepend=both[o][:1]) != 0)
+    o = np.argsort(group * n + when)
     k, c = key[o], other[o]
     new = np.ones(len(o), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
@@ -148,7 +155,7 @@ def runs(length: int, gram: int, words: bool, decide: Decide) -> Callable:
             i = np.flatnonzero(new)
             s, n, a = at[i], np.diff(np.append(i, len(at))), a[i]
             d, h = row[s], grams[a]
-            c = roll.at(s, s + n - 1 + length) ^ C.mix(((a - s) * 4096 + n).astype(np.uint64))
+            c = roll.quick(s, s + n - 1 + length) ^ C.mix(((a - s) * 4096 + n).astype(np.uint64))
             rank = order_of(doc, t)
             row_of_rank = np.empty(len(doc), np.int64)
             row_of_rank[rank] = np.arange(len(doc))
@@ -186,7 +193,7 @@ def runs(length: int, gram: int, words: bool, decide: Decide) -> Callable:
 def judged(docs: DataFrame, length: int, gram: int, words: bool, across: bool, decide: Decide) -> DataFrame:
     """(doc, t, s, e, k, n, hot): spans [s, e) of units that are repeats (n null), and runs to compare: n windows from s
     on, under the key k or, if hot, each under a key of its own. across: only texts of a smaller doc make a repeat."""
-    found = docs.mapInArrow(runs(length, gram, words, decide), _RUNS)
+    found = docs.mapInArrow(runs(length, gram, words, decide), _RUNS).repartition("k")  # one exchange for all windows
     of_key, of_class = Window.partitionBy("k"), Window.partitionBy("k", "c")
     is_span = F.col("kind") == SPAN
     seen = (

@@ -132,5 +132,8 @@ def test_suffix_array_order():
     s[ends] = 0
     left = np.repeat(ends, lens + 1) - np.arange(len(s))
     sa = op3.suffix_array(s, left, op3._packed(s, left))
-    suffix = [(bytes(s[i : i + left[i]].astype(np.uint8)), i + left[i]) for i in range(len(s))]
-    assert sa.tolist() == sorted(range(len(s)), key=lambda i: suffix[i])
+    suffix = [bytes((s[i : i + left[i]] - 1).astype(np.uint8)) for i in range(len(s))]
+    assert sorted(sa.tolist()) == list(range(len(s))) and [suffix[i] for i in sa] == sorted(suffix)
+    for depth in (1, 9, 20):
+        rough = [suffix[i][:depth] for i in op3.suffix_array(s, left, op3._packed(s, left), depth)]
+        assert rough == sorted(rough)
