@@ -1,9 +1,10 @@
 """Solves L X = Y for all columns of Y at once.
 
 Strategies, chosen by counted sizes: `dense` for a few thousand nodes, in one task; `columns` where the edges fit in
-a task: edges are broadcast and the columns of Y dealt to tasks, each a conjugate gradient over numpy arrays;
-`distributed` beyond: block conjugate gradients over DataFrames, its state a table in the shared folder each step.
-All precondition with the diagonal and project onto the components' zero-sum spaces; a zero column stays zero.
+a task: edges are broadcast and the columns of Y dealt to tasks, each a conjugate gradient over numpy arrays,
+preconditioned by a multigrid of aggregated nodes (see `multigrid`); `distributed` beyond: block conjugate gradients
+over DataFrames, preconditioned with the diagonal, its state a table in the shared folder each step. All project onto
+the components' zero-sum spaces; a zero column stays zero.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..params import ACCEPT_RELATIVE, MAX_ITERATIONS, STOP_RESIDUAL
 from . import graph as G
 from .components import components, labels, materialize
+from .multigrid import Multigrid
 
 #: Bounds of the first two strategies, counted before they are chosen; 24 bytes an edge are broadcast.
 DENSE_NODES, COLUMN_EDGES = 3000, 5_000_000
@@ -46,8 +48,7 @@ def project(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 def solve_pcg(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, y: np.ndarray, max_iterations: int = MAX_ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
     """(x, relative residual) by column."""
-    deg = np.bincount(u, w, n) + np.bincount(v, w, n)
-    inverse = np.divide(1.0, deg, out=np.zeros(n), where=deg > 0)
+    grid = Multigrid(n, u, v, w)
     label = labels(n, u, v)
     out, left = np.zeros_like(y), np.zeros(y.shape[1])
     for j in range(y.shape[1]):
@@ -56,19 +57,19 @@ def solve_pcg(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, y: np.ndarray
         if norm == 0:
             continue
         x, r = np.zeros(n), b.copy()
-        z = inverse * r
+        z = grid(r)
         p, rz = z.copy(), r @ z
         for _ in range(max_iterations):
-            flow = w * (p[u] - p[v])
-            ap = np.bincount(u, flow, n) - np.bincount(v, flow, n)
+            ap = grid.laplacian(p)
             step = rz / (p @ ap)
             x += step * p
-            r -= step * ap
+            before, r = r, r - step * ap
             if np.linalg.norm(r) <= STOP_RESIDUAL:
                 break
-            z = inverse * r
-            rz, old = r @ z, rz
-            p = z + rz / old * p
+            z = grid(r)
+            turned, old = z @ (r - before), rz  # flexible: the preconditioner is not quite linear
+            rz = r @ z
+            p = z + turned / old * p
         out[:, j] = x
         left[j] = np.linalg.norm(r) / norm
     return project(out, label), left

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import materialize
+
 BANNER = "%%MatrixMarket matrix coordinate"
 
 
@@ -28,7 +30,8 @@ def read_matrix(spark: SparkSession, path: str, index_base: int = 1) -> tuple[Da
     n, m, _ = map(int, head["line"].split())
     parts = F.split("line", r"\s+")
     value = F.lit(1.0) if kind[3] == "pattern" else F.get(parts, F.lit(2)).cast("double")
-    rows = lines.where(body & (F.col("id") != head["id"])).select((F.get(parts, F.lit(0)).cast("long") - index_base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - index_base).alias("col"), value.alias("value"))
+    is_head = (F.col("file") == top["file"]) & (F.col("start") == 0) & (F.col("id") == head["id"])
+    rows = lines.where(body & ~is_head).select((F.get(parts, F.lit(0)).cast("long") - index_base).alias("row"), (F.get(parts, F.lit(1)).cast("long") - index_base).alias("col"), value.alias("value"))
     if kind[4] in ("symmetric", "skew-symmetric"):
         other = F.col("value") if kind[4] == "symmetric" else -F.col("value")
         entry = lambda r, c, x: F.struct(F.col(r).alias("row"), F.col(c).alias("col"), x.alias("value"))
@@ -50,6 +53,7 @@ def write_matrix(matrix: DataFrame, path: str, n: int, symmetric: bool = False,
     """Sorted by column and row. symmetric stores the lower triangle only. Errors are raised."""
     if symmetric:
         matrix = matrix.where("row >= col")
+    matrix = materialize(matrix.select("row", "col", "value"))  # counted, sampled for its order and written
     m = matrix.count()
     head = [(0, 0, f"{BANNER} real {'symmetric' if symmetric else 'general'}"), (0, 1, f"{n} {n} {m}")]
     top = matrix.sparkSession.createDataFrame([(-2 + b, -1, t) for _, b, t in head], "c long, r long, line string")

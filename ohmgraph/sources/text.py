@@ -10,18 +10,23 @@ from . import matrix_market as MM
 
 
 def read_edge_list(spark: SparkSession, path: str, default_weight: float = 1.0, index_base: int = 0) -> tuple[DataFrame, int]:
-    """(u, v, w) and n. First line: n m (m is not used); blank lines are skipped; of parallel edges the first wins."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("id")).where("line <> ''")
-    head = lines.agg(F.min(F.struct("id", "line")).alias("h")).first()["h"]
+    """(u, v, w) and n. First line: n m (m is not used); blank lines are skipped; of parallel edges the first wins.
+
+    A folder's files are read on in the order of their names, whatever their sizes."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), place.alias("at")).where("line <> ''")
+    head = lines.agg(F.min(F.struct("at", "line")).alias("h")).first()["h"]
     if head is None:
         raise ValueError(f"{path} is empty")
     parts = F.split("line", r"\s+")
-    rows = lines.where(F.col("id") != head["id"]).select(
+    here = head["at"]
+    is_head = (F.col("at.file") == here["file"]) & (F.col("at.start") == here["start"]) & (F.col("at.id") == here["id"])
+    rows = lines.where(~is_head).select(
         (F.get(parts, F.lit(0)).cast("long") - index_base).alias("u"), (F.get(parts, F.lit(1)).cast("long") - index_base).alias("v"),
-        F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(default_weight)).alias("w"), "id",
+        F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(default_weight)).alias("w"), "at",
     )
     n = int(head["line"].split()[0])
-    return G.check_bounds(G.first_wins(rows, "id"), n), n
+    return G.check_bounds(G.first_wins(rows, "at"), n), n
 
 
 def edge_list_to_matrix_market(spark: SparkSession, source: str, target: str, default_weight: float = 1.0, index_base: int = 0) -> None:

@@ -121,8 +121,35 @@ def test_zero_column_and_hard_graph(spark):
         assert r.x[0] == 0.0
     u, v, w = np.arange(999), np.arange(1, 1000), np.ones(999)
     rhs = np.random.default_rng(0).uniform(-1, 1, (1000, 1))
-    _, left = solver.solve_pcg(1000, u, v, w, rhs - rhs.mean(), 5)
-    assert left[0] > 0.01
+    _, left = solver.solve_pcg(1000, u, v, w, rhs - rhs.mean())
+    assert left[0] < 1e-6
+
+
+def test_wide_graphs():
+    """Graphs on which the diagonal alone takes as many steps as they are wide."""
+    rnd = np.random.default_rng(0)
+    i = np.arange(9999)
+    at = np.arange(316 * 316).reshape(316, 316)
+    u, v = np.concatenate((at[:, :-1].ravel(), at[:-1].ravel())), np.concatenate((at[:, 1:].ravel(), at[1:].ravel()))
+    uneven = np.exp(3 * rnd.normal(size=len(u)))
+    for n, a, b, w in ((10_000, i, i + 1, np.ones(9999)), (316 * 316, u, v, np.ones(len(u))), (316 * 316, u, v, uneven)):
+        y = rnd.normal(size=(n, 1))
+        x, left = solver.solve_pcg(n, a, b, w, y)
+        flow = w * (x[a, 0] - x[b, 0])
+        lx = np.bincount(a, flow, n) - np.bincount(b, flow, n)
+        assert left[0] < 0.01 and np.linalg.norm(lx - (y[:, 0] - y.mean())) < 0.01 * np.linalg.norm(y)
+
+
+def test_edge_list_of_several_files(spark, tmp_path):
+    """The head in a small first file, parallels over files: as one file in the order of their names."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-00000").write_text("\n500 1\n")
+    (folder / "part-00001").write_text("0 1 5\n")
+    (folder / "part-00002").write_text("1 0 9\n" + "".join(f"{i} {i + 1} {i}.5\n" for i in range(1, 400)))
+    (folder / "part-00003").write_text("2 1 8\n499 3\n")
+    edges, n = TX.read_edge_list(spark, str(folder))
+    assert n == 500 and {tuple(r) for r in edges.collect()} == {(0, 1, 5.0), (3, 499, 1.0)} | {(i, i + 1, i + 0.5) for i in range(1, 400)}
 
 
 def test_leverage(spark):
