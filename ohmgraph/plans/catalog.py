@@ -14,6 +14,7 @@ from ..operators import leverage, sample, sketch, solver
 from ..operators import verify as V
 from ..operators.components import materialize, shared_dir
 from ..params import Params, command_line_defaults, library_defaults
+from ..sources import generators as GEN
 from ..sources import matrix_market as MM
 from ..sources import text as TX
 from ..streaming.resparsify import EdgeStream
@@ -153,13 +154,13 @@ def weight_statistics(spark, d):
     return T.supplier_graph(spark, d).agg(r6(F.avg("w")).alias("mean"), r6(F.stddev_pop("w")).alias("std_dev"))
 
 
-@query(f"WITH {T.G}, b AS (SELECT u AS row, v AS col, w - 3 AS value FROM g) SELECT row, col, sum(value) AS value FROM (SELECT * FROM b UNION ALL SELECT row, col, CASE WHEN value > 0 THEN -value ELSE value END FROM b) GROUP BY 1, 2 HAVING sum(value) <> 0")
+@query(f"WITH {T.G}, b AS (SELECT u AS row, v AS col, w - 5 AS value FROM g) SELECT row, col, sum(value) AS value FROM (SELECT * FROM b UNION ALL SELECT row, col, CASE WHEN value % 2 = 0 THEN -value ELSE value END FROM b) GROUP BY 1, 2 HAVING sum(value) <> 0")
 def matrix_sum(spark, d):
-    b = T.supplier_graph(spark, d).selectExpr("u AS row", "v AS col", "w - 3 AS value")
-    return G.add(b, b.withColumn("value", F.when(F.col("value") > 0, -F.col("value")).otherwise(F.col("value"))))
+    b = T.supplier_graph(spark, d).selectExpr("u AS row", "v AS col", "w - 5 AS value")
+    return G.add(b, b.withColumn("value", F.when(F.col("value") % 2 == 0, -F.col("value")).otherwise(F.col("value"))))
 
 
-@query(f"WITH {T.G}, {T.LAP} SELECT row, col, value FROM lap WHERE row < 9 AND col < 9")
+@query(f"WITH {T.G}, {T.LAP} SELECT row, col, value FROM lap, (SELECT max(s_suppkey) AS last FROM supplier) WHERE row < last AND col < last")
 def grounded_laplacian(spark, d):
     return G.grounded(G.laplacian(T.supplier_graph(spark, d)), n_suppliers(spark, d))
 
@@ -357,10 +358,7 @@ def probe_check(spark, d):
     return s.select("upper_bound_violations", "lower_bound_violations", *[r6(c).alias(c) for c in ("mean_rel_error", "std_dev_rel_error", "max_rel_error")])
 
 
-_RARE = f"s AS (SELECT u, v FROM g WHERE {T.coin('co', 'u', 'v', seed=8)} < 1.2::DOUBLE / {_N})"
-
-
-@query(f"""WITH RECURSIVE {T.G}, {_RARE}, e AS (SELECT u, v FROM s UNION ALL SELECT v, u FROM s),
+@query(f"""WITH RECURSIVE {T.G}, e AS (SELECT u, v FROM g UNION ALL SELECT v, u FROM g),
 reach AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT r.node, e.v FROM reach r JOIN e ON e.u = r.seen)
 SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def connected_components(spark, d):
@@ -475,11 +473,56 @@ def edge_list_conversion(spark, d):
     raw = T.supplier_pairs(spark, d).where("w <> 0")
     top = spark.createDataFrame([(-1, "100000 0"), (0, "")], "ord long, line string")
     lines = top.unionByName(raw.select("ord", F.concat_ws(" ", "u", "v", F.col("w").cast("string")).alias("line")))
-    lines.orderBy("ord").select("line").write.text(source)
+    # several files of uneven sizes: the head alone, then all the others
+    lines.repartitionByRange(3, F.least("ord", F.lit(1).cast("long"))).sortWithinPartitions("ord").select("line").write.text(source)
     TX.edge_list_to_matrix_market(spark, source, target)
     return MM.read_matrix(spark, target)[0]
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS i, s_acctbal AS value FROM supplier")
+def vector_line(spark, d):
+    return TX.read_vector(spark, _one_line(spark, d, F.col("s_acctbal").cast("string")))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS i, s_acctbal > 0 AS value FROM supplier")
+def flag_line(spark, d):
+    return TX.read_flags(spark, _one_line(spark, d, (F.col("s_acctbal") > 0).cast("string")))
+
+
+def _one_line(spark, d, value: Column) -> str:
+    path = _scratch(spark)
+    items = T.read(spark, d, "supplier").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", value.alias("x")))).alias("a"))  # such a file is one line
+    items.select(F.array_join(F.transform("a", lambda t: t["x"]), ",")).coalesce(1).write.text(path)
+    return path
+
+
+@query(f"WITH {T.G} SELECT v AS row, u AS col, 1.0::DOUBLE AS value FROM g UNION ALL SELECT u, v, 1.0::DOUBLE FROM g")
+def pattern_file(spark, d):
+    path, n = _scratch(spark), n_suppliers(spark, d)
+    g = materialize(T.supplier_graph(spark, d))
+    head = spark.createDataFrame([(-2, -2, "%%MatrixMarket matrix coordinate pattern symmetric"), (-1, -1, f"{n} {n} {g.count()}")], "u long, v long, line string")
+    lines = head.unionByName(g.select("u", "v", F.concat_ws(" ", F.col("v") + 1, F.col("u") + 1).alias("line")))
+    lines.orderBy("u", "v").select("line").write.text(path)
+    return MM.read_matrix(spark, path)[0]
+
+
+@query(f"WITH {T.NATION}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation) SELECT a.k AS row, CAST(b.k AS INTEGER) AS col, coalesce(w, 0.0) AS value FROM n a CROSS JOIN n b LEFT JOIN nn ON u = a.k AND v = b.k WHERE a.k IN (SELECT u FROM nn)")
+def dense_file(spark, d):
+    path = _scratch(spark)
+    MM.write_matrix(T.nation_graph(spark, d).selectExpr("u AS row", "v AS col", "w AS value"), path, 25)
+    return MM.read_dense(spark, path).select("row", F.posexplode("values").alias("col", "value"))
+
+
+@query("SELECT i AS u, i + 1 AS v, 1.0::DOUBLE AS w FROM range(99) t(i) UNION ALL SELECT 10 * i, 10 * i + 9, 1.0::DOUBLE FROM range(10) t(i)")
+def path_graph(spark, d):
+    return GEN.path_with_shortcuts(spark)
+
+
+@query()
+def experiment_space(spark, d):
+    return X.run_grid(spark, "supplier", T.supplier_graph(spark, d), n_suppliers(spark, d), X.space_grid())
+
+
 @query()
 def streaming_resparsify(spark, d):
     """Edges arrive in three files; the held graph is sparsified again above a threshold."""

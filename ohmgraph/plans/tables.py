@@ -22,7 +22,7 @@ def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders, customer = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     both = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return both.select(
-        (F.col("l_suppkey") % 40).alias("u"), F.col("c_nationkey").cast("long").alias("v"), (F.col("l_quantity") - F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0)).alias("w"),
+        F.col("l_suppkey").alias("u"), F.col("c_nationkey").cast("long").alias("v"), (F.col("l_quantity") - F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0)).alias("w"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")).alias("ord"),
     )
 
@@ -37,7 +37,7 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 G = """g AS (SELECT a.l_suppkey AS u, b.l_suppkey AS v, CAST(count(*) AS DOUBLE) AS w
   FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b
   ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2)"""
-RAW = """raw AS (SELECT l_suppkey % 40 AS u, CAST(c_nationkey AS BIGINT) AS v,
+RAW = """raw AS (SELECT l_suppkey AS u, CAST(c_nationkey AS BIGINT) AS v,
   l_quantity - CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END AS w, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 NATION = """nn AS (SELECT CAST(c_nationkey AS BIGINT) AS u, CAST(s_nationkey AS BIGINT) AS v, CAST(count(*) AS DOUBLE) AS w
