@@ -14,7 +14,7 @@ def test_entry_without_the_text_operators(monkeypatch):
 
     def guarded(name, globals=None, locals=None, fromlist=(), level=0):
         if name == "corpus_pipeline" or name.startswith("ohmgraph.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, globals, locals, fromlist, level)
 
     monkeypatch.setattr(builtins, "__import__", guarded)
