@@ -30,7 +30,7 @@ from . import common as C
 #: Different runs of one anchor that a block sends under the anchor itself.
 FEW = 64
 #: Runs of a class in one lot; classes of an anchor that meet under its key.
-MEMBERS, MANY = 64, 512
+MEMBERS, MANY = 16, 4096
 SPAN, RUN, HOT, HOTTER = 0, 1, 2, 3
 _RUNS = "k long, c long, doc long, t long, s int, n int, kind byte"
 _BATCH = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
