@@ -150,6 +150,7 @@ def corpus_samples(documents: DataFrame, size: int = SAMPLE_DOCUMENTS) -> DataFr
     spark = documents.sparkSession
     n = documents.count()
     part = documents.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(max(1, math.ceil(n / size)))) == 0).select("text").distinct()
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, much work: else one task has them all
     found = with_base(part).select(
         "text", F.filter("_values", lambda v: (F.length(v) >= 16) & v.rlike("[0-9]")).alias("secrets"), F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{2,40}\b"), F.lit(0)).alias("words")
     )
