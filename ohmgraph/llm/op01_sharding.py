@@ -4,11 +4,12 @@ A key's score on a shard is -weight / ln(u), u being a hash of key and shard in
 score has the key. One more shard so takes keys only to itself, and each shard has keys in proportion to its weight.
 Only the key and the shards decide, and no state is kept.
 
-Slots number a shard's rows without gaps: rows are numbered within (shard, bucket) groups, buckets being hash ranges
-of the key of a bounded number of rows, and each group starts where the groups before it end.
+Slots number a shard's rows without gaps: rows are numbered within (shard, bucket) groups, and each group starts where
+the groups before it end. Buckets are by hash of the key and of the columns that order its rows, so that a key of very
+many rows, such as null, is dealt over all buckets; only rows that are equal in all of these share one.
 
 Defined results: a null key is a key like any other; rows that repeat a key share its shard and have slots of their
-own, ordered by size and checksum; a null text has size 1 and no checksum; an empty table gives an empty table;
+own; a null text has size 1 and no checksum; an empty table gives an empty table;
 further columns are not looked at.
 """
 
@@ -44,7 +45,7 @@ def assign(rows: DataFrame, key: str, shards: Mapping[int, float], order: list[s
     """rows with shard int and slot long, gapless from 0 in each shard; order: columns that order rows of one key."""
     n = rows.select(F.count(F.lit(1))).first()[0]
     buckets = max(1, math.ceil(n / GROUP_ROWS / len(shards)))
-    placed = rows.withColumn("shard", rendezvous(key, shards)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("shard", rendezvous(key, shards)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), key, *order), F.lit(buckets)).cast("int"))
     # counted per group with partial sums; one row a group is left, bounded by n / GROUP_ROWS + shards
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))

@@ -12,8 +12,9 @@ them, and since every backslash then starts a code, the codes are undone one kin
 Loss mask: spans of the formatted text, one for each assistant text.
 
 Defined results: a null text or role is empty; rows of one turn follow each other by role and text, repeated rows
-stay; of nodes that repeat an id one stays; a null conv_id is a conversation; nodes whose parent is missing are roots; an empty table gives an empty table;
-further columns are not looked at.
+stay; of rows that repeat a node the least by parent, score, role and text stays, nulls first; a null conv_id is a
+conversation; nodes whose parent is missing are roots; an empty table gives an empty table; further columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -69,19 +70,28 @@ def _anti(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.join(o, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti")
 
 
+def _one_row_a_node(nodes: DataFrame) -> DataFrame:
+    rest = F.min(F.struct("parent", "score", "role", "text")).alias("least")
+    return nodes.groupBy("conv_id", "node").agg(rest).select("conv_id", "node", "least.*")
+
+
 def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, leaf, rank, score, formatted, mask) of the `keep` best branches of each conversation.
 
     nodes: (conv_id, node, parent, score, role, text); mask: array of (start, end) in formatted. Ties in score go to
     the smaller leaf."""
-    nodes = nodes.dropDuplicates(["conv_id", "node"])
-    steps = branches(nodes).select("conv_id", "leaf", (-F.col("dist")).alias("at"), F.col("node").alias("step"))
+    nodes = C.materialize(_one_row_a_node(nodes))
+    way = branches(nodes).select("conv_id", "leaf", (-F.col("dist")).alias("at"), F.col("node").alias("step"))
     n = nodes.select(F.col("conv_id").alias("c"), "node", "score", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = steps.join(n, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("step") == F.col("node")))
+    here = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("step") == F.col("node"))
+    # branches rank by their scores alone; texts are fetched for the chosen ones only
+    scored = way.join(n.select("c", "node", "score"), here).groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= keep)
+    chosen = best.select(F.col("conv_id").alias("k"), F.col("leaf").alias("l"), F.col("score").alias("total"), "rank")
+    rows = way.join(chosen, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("leaf") == F.col("l"))).join(n.drop("score"), here)
     head = F.concat(F.lit(OPEN), escape(F.col("role"), _ROLE_CODES), F.lit(MIDDLE))
     turn = F.struct("at", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LOSS_ROLE).alias("loss"))
-    paths = rows.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
-    ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= keep)
+    paths = rows.groupBy("conv_id", "leaf", "rank", F.col("total").alias("score")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     step = lambda acc, t: F.struct(
         (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)).alias("at"),
         F.when(t["loss"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), (acc["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end")))))
@@ -90,7 +100,7 @@ def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
     )
     mask = F.aggregate("turns", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("mask")), step)["mask"]
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    return ranked.select("conv_id", "leaf", "rank", "score", formatted.alias("formatted"), mask.alias("mask"))
+    return paths.select("conv_id", "leaf", "rank", "score", formatted.alias("formatted"), mask.alias("mask"))
 
 
 def read_back(formatted: str = "formatted", mask: str = "mask") -> tuple[Column, Column]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -37,6 +38,30 @@ def test_odd_tables(spark):
     assert op10.format_trees(op10.conversations(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_repeated_nodes(spark):
+    rows = [(1, 1, None, 0.0, "user", "b", 0), (1, 1, None, 0.0, "user", "a", 1), (1, 1, None, 0.0, None, "z", 2), (1, 2, 1, 1.0, "assistant", None, 3), (1, 2, 1, 1.0, "assistant", "", 4)]
+    for parts in (1, 4):
+        got = op10.format_trees(spark.createDataFrame(rows, NODES).repartition(parts), keep=3).collect()
+        assert [(r.leaf, r["rank"], r.score, r.formatted) for r in got] == [(2, 1, 1.0, "### : z</turn>\n### assistant: </turn>\n")]
+
+
+def test_ranks_as_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(c, i, rnd.randrange(i) if i and rnd.random() < 0.9 else None, float(rnd.randint(-3, 3)), rnd.choice(["user", "assistant"]), f"t{i}", 0) for c in range(12) for i in range(rnd.randint(1, 60))]
+    want = set()
+    for c in range(12):
+        own = {r[1]: r for r in rows if r[0] == c}
+        paths = []
+        for leaf in set(own) - {r[2] for r in own.values()}:
+            path = [leaf]
+            while own[path[-1]][2] is not None:
+                path.append(own[path[-1]][2])
+            paths.append((-sum(own[i][3] for i in path), leaf, "".join(f"### {own[i][4]}: {own[i][5]}</turn>\n" for i in reversed(path))))
+        want |= {(c, rank + 1, leaf, -score, text) for rank, (score, leaf, text) in enumerate(sorted(paths)[:3])}
+    got = op10.format_trees(spark.createDataFrame(rows, NODES).repartition(3), keep=3).collect()
+    assert {(r.conv_id, r["rank"], r.leaf, r.score, r.formatted) for r in got} == want and len(got) == len(want)
+
+
 def test_no_python(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     assert not re.search("Python|Pandas|Arrow", op10.format_trees(op10.conversations(rows))._jdf.queryExecution().executedPlan().toString())

@@ -29,6 +29,21 @@ def test_slots_over_many_buckets(spark, monkeypatch):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_rows_of_one_key_are_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(op1, "GROUP_ROWS", 50)
+    rows = spark.range(2000).selectExpr("if(id % 3 = 0, id, null) doc_id", "id % 500 size", "id text_crc32")
+    out = op1.assign(rows, "doc_id", dict.fromkeys(range(4), 1.0), ["size", "text_crc32"])
+    got = out.collect()
+    hot = {r.shard for r in got if r.doc_id is None}
+    assert len(got) == 2000 and len(hot) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    slots = sorted(r.slot for r in got if r.doc_id is None)
+    assert slots[-1] - slots[0] >= len(slots)  # rows of other keys lie between
+    again = op1.assign(rows.repartition(7), "doc_id", dict.fromkeys(range(4), 1.0), ["size", "text_crc32"])
+    assert sorted(map(str, got)) == sorted(map(str, again.collect()))
+
+
 def brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
