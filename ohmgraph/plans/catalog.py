@@ -390,7 +390,33 @@ def degree_change(spark, d):
     return V.degree_change(g, sample.uniform_half(g, P.sampling_seed, "md5")).select(r6("norm").alias("norm"))
 
 
-# --- solves; an oracle needs a fact that holds without one ------------------------------------
+# --- solves; oracles sum the walks of the graph, or state a fact that holds without one ------------------------------------
+
+def _walks(edges: str, doublings: int = 6) -> str:
+    """Tables that end in green (a, b, x): x' = green y solves L x' = y for y of sum 0, up to a constant.
+
+    With P = D^-1 A less its constant part, green is the sum of P^t D^-1 for t below 2^doublings; the walk's second
+    eigenvalue has to be well below 1, as in the dense sample graphs, which are connected."""
+    out = f"""e2 AS (SELECT u AS a, v AS b, w FROM {edges} UNION ALL SELECT v, u, w FROM {edges}),
+dg AS (SELECT a, sum(w) AS d FROM e2 GROUP BY a), vol AS (SELECT sum(d) AS vol FROM dg),
+m0 AS MATERIALIZED (SELECT i.a, j.a AS b, coalesce(e2.w, 0.0) / i.d - j.d / vol AS x FROM dg i CROSS JOIN dg j CROSS JOIN vol LEFT JOIN e2 ON e2.a = i.a AND e2.b = j.a),
+s0 AS MATERIALIZED (SELECT i.a, j.a AS b, CASE WHEN i.a = j.a THEN 1.0::DOUBLE ELSE 0.0 END AS x FROM dg i CROSS JOIN dg j)"""
+    for t in range(doublings):
+        out += f""",
+s{t + 1} AS MATERIALIZED (SELECT a, b, sum(x) AS x FROM (SELECT a, b, x FROM s{t} UNION ALL SELECT m.a, s.b, sum(m.x * s.x) FROM m{t} m JOIN s{t} s ON m.b = s.a GROUP BY 1, 2) GROUP BY 1, 2),
+m{t + 1} AS MATERIALIZED (SELECT m.a, s.b, sum(m.x * s.x) AS x FROM m{t} m JOIN m{t} s ON m.b = s.a GROUP BY 1, 2)"""
+    return out + f",\ngreen AS MATERIALIZED (SELECT s.a, s.b, s.x / d AS x FROM s{doublings} s JOIN dg ON dg.a = s.b)"
+
+
+#: Sketch, solve, distances and probabilities of the supplier graph, with the columns that its nodes ask for.
+SOLVED = P.with_(jl_factor=4.0, strategy="auto")
+_COLS = f"(SELECT CAST(greatest(1, ceil(log2(greatest({_N}, 2)) * {SOLVED.jl_factor!r})) AS INTEGER) AS k)"
+_ESTIMATED = f"""WITH {T.G}, {_walks('g')}, kk AS {_COLS}, gj AS (SELECT u, v, w, CAST(unnest(range(k)) AS INTEGER) AS j FROM g, kk), {_Y},
+sol AS MATERIALIZED (SELECT a AS node, j, sum(x * y) AS x FROM green JOIN y ON y.node = b GROUP BY 1, 2),
+est AS (SELECT u, v, w, sqrt(sum((p.x - q.x) * (p.x - q.x))) AS d FROM g JOIN sol p ON p.node = u JOIN sol q ON q.node = v AND q.j = p.j GROUP BY 1, 2, 3),
+pr AS (SELECT u, v, w, d, least(1.0::DOUBLE, {P.epsilon**-2!r}::DOUBLE * ln({_N}) * w * d * d / k) AS p FROM est, kk), {_DEC} """
+_KEPT = "sp AS (SELECT u, v, w / p AS w FROM dec WHERE kept)"
+
 
 @query(f"""WITH RECURSIVE {T.NATION}, e AS (SELECT u, v FROM nn WHERE u <> v UNION SELECT v, u FROM nn WHERE u <> v),
 reach AS (SELECT DISTINCT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM reach r JOIN e ON e.u = r.seen)
@@ -410,15 +436,37 @@ def solver_residuals(spark, d):
     return spark.createDataFrame(rows, "j int, strategy string, solved boolean")
 
 
-@query()
+@query(f"""WITH {T.NATION}, ne AS (SELECT least(u, v) AS u, greatest(u, v) AS v, sum(w) AS w FROM nn WHERE u <> v GROUP BY 1, 2), {_walks('ne')}
+SELECT u, v, w, round(uu.x + vv.x - uv.x - vu.x, 6) AS resistance FROM ne JOIN green uu ON uu.a = u AND uu.b = u JOIN green vv ON vv.a = v AND vv.b = v
+JOIN green uv ON uv.a = u AND uv.b = v JOIN green vu ON vu.a = v AND vu.b = u""")
 def effective_resistance(spark, d):
     g = materialize(nation_edges(spark, d))
-    return leverage.exact_resistance(g, G.degrees(g).count())
+    return leverage.exact_resistance(g, G.degrees(g).count()).select("u", "v", "w", r6("resistance").alias("resistance"))
 
 
-@query()
+@query(_ESTIMATED + "SELECT u, v, w, round(d, 5) AS d, round(p, 5) AS p FROM pr")
 def leverage_estimate(spark, d):
-    return leverage.estimate(materialize(T.supplier_graph(spark, d)), n_suppliers(spark, d), P.with_(jl_factor=4.0, hash_flavour="xx"))
+    e = leverage.estimate(materialize(T.supplier_graph(spark, d)), n_suppliers(spark, d), SOLVED)
+    return e.select("u", "v", "w", F.round("d", 5).alias("d"), F.round("p", 5).alias("p"))
+
+
+@query(_ESTIMATED + "SELECT u, v, round(w / p, 4) AS w FROM dec WHERE kept")
+def sparsify_by_leverage(spark, d):
+    """The whole way with hashes that other SQL engines have."""
+    out = sparsify(T.supplier_graph(spark, d), n_suppliers(spark, d), SOLVED.with_(reweight="inverse"))
+    return out.edges.withColumn("w", F.round("w", 4))
+
+
+@query(_ESTIMATED + f", {_KEPT}, ends AS (SELECT u AS node, w FROM sp UNION ALL SELECT v, w FROM sp) SELECT u AS row, v AS col, round(-w, 4) AS value FROM sp UNION ALL SELECT v, u, round(-w, 4) FROM sp UNION ALL SELECT node, node, round(sum(w), 4) FROM ends GROUP BY node")
+def laplacian_by_leverage(spark, d):
+    out = sparsify(T.supplier_graph(spark, d), n_suppliers(spark, d), SOLVED.with_(reweight="inverse"))
+    return out.laplacian.withColumn("value", F.round("value", 4))
+
+
+@query(_ESTIMATED + "SELECT u, v, round(w / p - w, 4) AS change FROM dec WHERE kept AND round(w / p - w, 4) <> 0 UNION ALL SELECT u, v, -w FROM dec WHERE NOT kept")
+def delta_by_leverage(spark, d):
+    out = sparsify(T.supplier_graph(spark, d), n_suppliers(spark, d), SOLVED.with_(reweight="inverse"))
+    return out.delta.withColumn("change", F.round("change", 4)).where("change <> 0")
 
 
 @query()
