@@ -12,6 +12,7 @@ from .operators import graph as G
 from .params import command_line_defaults
 from .plans import experiments as X
 from .plans.sparsify import Timer, sparsify_dataset
+from .plans.stages import write_stages
 from .sources import matrix_market as MM
 from .sources.text import edge_list_to_matrix_market
 
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--test", action="store_true", help="check components and probes")
     p.add_argument("-r", "--run-experiment", choices=EXPERIMENTS)
     p.add_argument("--convert-edge-list", action="store_true", help="turn an edge list into Matrix Market")
+    p.add_argument("--stages", default="", help="folder for the files of all stages, one folder in it for each input")
     p.add_argument("--config", help="TOML file with defaults, by the long names of these options")
     return p
 
@@ -69,6 +71,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 X.run_grid(spark, name, edges, n, grid(), results=f"{target}/{a.run_experiment}" if target else None).show(truncate=False)
             continue
+        if a.stages:
+            matrix, n, _ = MM.read_matrix(spark, path)
+            write_stages(G.upper_triangle(matrix), n, p, f"{a.stages.rstrip('/')}/{name}")
         timer = Timer(active=a.benchmark)
         out = sparsify_dataset(spark, path, output=target or None, params=p, timer=timer)
         s = out.stats.first()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import materialize
+
 
 def upper_triangle(matrix: DataFrame) -> DataFrame:
     """Edges stored above the diagonal; entries below it and on it are not read."""
@@ -81,6 +83,25 @@ def incidence(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", F.explode(F.array(at("v", root), at("u", -root))).alias("e")).select("u", "v", "e.*")
 
 
+def ordinals(edges: DataFrame) -> DataFrame:
+    """(u, v, w, ordinal): the place of each edge, from 0, in the order of (u, v).
+
+    The table is range-sorted and written once; a partition's edges start where those of the partitions before it end,
+    so no task sorts or numbers more than its own range. One row a partition is broadcast."""
+    placed = materialize(edges.select("u", "v", "w").orderBy("u", "v").withColumn("place", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("u", "v", "w", (F.col("start") + F.col("place")).alias("ordinal"))
+
+
+def incidence_by_ordinal(numbered: DataFrame) -> DataFrame:
+    """(edge, node, value): the incidence with edges known by their ordinal; numbered: see ordinals."""
+    ends = endpoints(numbered, (F.col("ordinal"), F.col("ordinal")), (F.sqrt("w"), -F.sqrt("w")))
+    return ends.select(F.col("x0").alias("edge"), "node", F.col("x1").alias("value"))
+
+
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sum of two matrices; what cancels goes."""
     return a.unionByName(b).groupBy("row", "col").agg(F.sum("value").alias("value")).where("value <> 0")

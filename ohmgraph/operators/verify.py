@@ -93,6 +93,13 @@ def cut_weight(edges: DataFrame, sides: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.when(F.col("su") != F.col("sv"), 2 * F.col("w"))), F.lit(0)).alias("cut_weight"))
 
 
+def cut_change(original: DataFrame, sparse: DataFrame, sides: DataFrame) -> DataFrame:
+    """One row: weight across a partition before and after, and their ratio (null where nothing was cut)."""
+    a, b = cut_weight(original, sides).withColumnRenamed("cut_weight", "before"), cut_weight(sparse, sides).withColumnRenamed("cut_weight", "after")
+    both = a.select("before", F.lit(0.0).alias("after")).unionByName(b.select(F.lit(0.0).alias("before"), "after"))
+    return both.agg(F.sum("before").alias("before"), F.sum("after").alias("after")).withColumn("ratio", F.expr("try_divide(after, before)"))
+
+
 def degree_change(original: DataFrame, sparse: DataFrame) -> DataFrame:
     """One row: norm of the difference of the diagonals."""
     a, b = G.degrees(original), G.degrees(sparse).withColumnRenamed("degree", "other")

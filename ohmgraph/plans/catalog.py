@@ -19,6 +19,7 @@ from ..sources import matrix_market as MM
 from ..sources import text as TX
 from ..streaming.resparsify import EdgeStream
 from . import experiments as X
+from . import stages as ST
 from . import tables as T
 from .sparsify import sparsify
 
@@ -128,6 +129,16 @@ def incidence_matrix(spark, d):
     return G.incidence(T.supplier_graph(spark, d)).withColumn("value", r6("value"))
 
 
+@query(f"WITH {T.G} SELECT u, v, w, row_number() OVER (ORDER BY u, v) - 1 AS ordinal FROM g")
+def edge_ordinals(spark, d):
+    return G.ordinals(T.supplier_graph(spark, d))
+
+
+@query(f"WITH {T.G}, o AS (SELECT *, row_number() OVER (ORDER BY u, v) - 1 AS edge FROM g) SELECT edge, v AS node, round(sqrt(w), 6) AS value FROM o UNION ALL SELECT edge, u, round(-sqrt(w), 6) FROM o")
+def incidence_by_ordinal(spark, d):
+    return G.incidence_by_ordinal(G.ordinals(T.supplier_graph(spark, d))).withColumn("value", r6("value"))
+
+
 @query(f"WITH {T.G} SELECT node, round(sum(w), 6) AS norm2 FROM (SELECT u AS node, w FROM g UNION ALL SELECT v, w FROM g) GROUP BY node")
 def incidence_row_norms(spark, d):
     return G.incidence(T.supplier_graph(spark, d)).groupBy("node").agg(r6(F.sum(F.col("value") * F.col("value"))).alias("norm2"))
@@ -377,6 +388,13 @@ def cut_weight(spark, d):
     return V.cut_weight(g, G.degrees(g).select("node", (F.col("node") % 2).alias("side")))
 
 
+@query(f"WITH {T.G}, {_HALF}, c AS (SELECT (SELECT sum(2 * w) FROM g WHERE u % 2 <> v % 2) AS before, (SELECT sum(2 * w) FROM h WHERE u % 2 <> v % 2) AS after) SELECT before, after, round(after / before, 6) AS ratio FROM c")
+def cut_change(spark, d):
+    g = T.supplier_graph(spark, d)
+    sides = G.degrees(g).select("node", (F.col("node") % 2).alias("side"))
+    return V.cut_change(g, sample.uniform_half(g, P.sampling_seed, "md5"), sides).withColumn("ratio", r6("ratio"))
+
+
 @query(f"WITH {T.G}, {_HALF}, a AS (SELECT u AS row, v AS col, w AS value FROM g), b AS (SELECT u AS row, v AS col, w AS value FROM h) SELECT row, col, a.value AS a, b.value AS b FROM a FULL JOIN b USING (row, col) WHERE a.value IS NULL OR b.value IS NULL OR abs(a.value - b.value) > 6")
 def table_differences(spark, d):
     g = T.supplier_graph(spark, d)
@@ -428,11 +446,13 @@ def leverage_total(spark, d):
     return r.agg(r6(F.sum(F.col("w") * F.col("resistance"))).alias("total"))
 
 
-@query(f"SELECT CAST(j AS INTEGER) AS j, s AS strategy, true AS solved FROM range({K}) t(j), (SELECT unnest(['columns', 'dense', 'distributed']) AS s)")
+@query(f"SELECT CAST(unnest(range(k)) AS INTEGER) AS j, s AS strategy, true AS solved FROM {_COLS}, (SELECT unnest(['columns', 'dense', 'distributed']) AS s)")
 def solver_residuals(spark, d):
-    g = materialize(nation_edges(spark, d))
-    y = materialize(sketch.wide(g, P, K))
-    rows = [(j, s, bool(r < 1e-6)) for s in ("columns", "dense", "distributed") for j, r in enumerate(solver.residuals(g, solver.solve(g, y, K, s), y, K))]
+    """All strategies on the supplier graph, with the columns of its sketch."""
+    g = materialize(T.supplier_graph(spark, d))
+    k = SOLVED.jl_dim(n_suppliers(spark, d))
+    y = materialize(sketch.wide(g, SOLVED, k))
+    rows = [(j, s, bool(r < 1e-6)) for s in ("columns", "dense", "distributed") for j, r in enumerate(solver.residuals(g, solver.solve(g, y, k, s), y, k))]
     return spark.createDataFrame(rows, "j int, strategy string, solved boolean")
 
 
@@ -490,7 +510,7 @@ def sparsify_verified(spark, d):
     n = n_suppliers(spark, d)
     g = materialize(T.supplier_graph(spark, d))
     h = materialize(sparsify(g, n, library_defaults(epsilon=0.75, jl_factor=4.0, reweight="inverse")).edges)
-    s = V.probe_summary(V.probe_errors(g, h, 20, 0), 0.75).first()
+    s = V.probe_summary(V.probe_errors(g, h, 100, 0), 0.75).first()
     rows = [(V.added_edges(g, h).count() == 0, V.count_components(g, n) == V.count_components(h, n), s[0] + s[1] == 0)]
     return spark.createDataFrame(rows, "subset boolean, same_components boolean, within_bounds boolean")
 
@@ -537,6 +557,15 @@ def flag_line(spark, d):
     return TX.read_flags(spark, _one_line(spark, d, (F.col("s_acctbal") > 0).cast("string")))
 
 
+@query(_ESTIMATED + "SELECT row_number() OVER (ORDER BY u, v) - 1 AS ordinal, u, v, w, round(d, 5) AS d, round(p, 5) AS p, round(coin, 9) AS coin, kept FROM dec")
+def stage_files(spark, d):
+    """The decisions read back from the files of all stages."""
+    folder = _scratch(spark)
+    ST.write_stages(T.supplier_graph(spark, d), n_suppliers(spark, d), SOLVED, folder)
+    e = ST.read_stages(spark, folder)["edges"]
+    return e.withColumns({"d": F.round("d", 5), "p": F.round("p", 5), "coin": F.round("coin", 9)})
+
+
 def _one_line(spark, d, value: Column) -> str:
     path = _scratch(spark)
     items = T.read(spark, d, "supplier").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", value.alias("x")))).alias("a"))  # such a file is one line

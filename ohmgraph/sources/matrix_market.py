@@ -49,13 +49,14 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return matrix.groupBy("row").agg(by_col.alias("m")).select("row", dense(F.col("m")).alias("values"))
 
 
-def write_matrix(matrix: DataFrame, path: str, n: int, symmetric: bool = False, single: bool = False) -> None:
-    """Sorted by column and row. symmetric stores the lower triangle only. Errors are raised."""
+def write_matrix(matrix: DataFrame, path: str, n: int, symmetric: bool = False, single: bool = False, columns: int | None = None) -> None:
+    """Sorted by column and row; n rows and as many columns, or those given. symmetric stores the lower triangle only.
+    Errors are raised."""
     if symmetric:
         matrix = matrix.where("row >= col")
     matrix = materialize(matrix.select("row", "col", "value"))  # counted, sampled for its order and written
     m = matrix.count()
-    head = [(0, 0, f"{BANNER} real {'symmetric' if symmetric else 'general'}"), (0, 1, f"{n} {n} {m}")]
+    head = [(0, 0, f"{BANNER} real {'symmetric' if symmetric else 'general'}"), (0, 1, f"{n} {n if columns is None else columns} {m}")]
     top = matrix.sparkSession.createDataFrame([(-2 + b, -1, t) for _, b, t in head], "c long, r long, line string")
     body = matrix.select(F.col("col").alias("c"), F.col("row").alias("r"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("value").cast("string")).alias("line"))
     lines = top.unionByName(body)

@@ -11,6 +11,7 @@ from ohmgraph.operators import verify as V
 from ohmgraph.operators.components import components
 from ohmgraph.params import Params, command_line_defaults, library_defaults
 from ohmgraph.plans import experiments as X
+from ohmgraph.plans import stages as ST
 from ohmgraph.plans.sparsify import laplacian_of_file, ready, sparsify, sparsify_dataset, sparsify_stored_laplacian
 from ohmgraph.sources import generators as R
 from ohmgraph.sources import matrix_market as MM
@@ -325,3 +326,37 @@ def test_config_file(tmp_path):
     (tmp_path / "c.toml").write_text('epsilon = 0.25\nsketch-seed = 7\n')
     a = cli._arguments(["--config", str(tmp_path / "c.toml"), "--sketch-seed", "9"])
     assert (a.epsilon, a.sketch_seed, a.jl_factor) == (0.25, 9, 4.0)
+
+
+def test_ordinals(spark):
+    edges = random_edges(60, 500)
+    got = G.ordinals(graph(spark, edges).repartition(7)).collect()
+    assert {(r.u, r.v): r.ordinal for r in got} == {(u, v): i for i, (u, v, _) in enumerate(sorted(edges))} and len(got) == len(edges)
+    assert G.ordinals(graph(spark, [])).count() == 0
+    inc = G.incidence_by_ordinal(G.ordinals(graph(spark, edges))).collect()
+    want = {(i, x): s * math.sqrt(w) for i, (u, v, w) in enumerate(sorted(edges)) for x, s in ((u, -1), (v, 1))}
+    assert {(r.edge, r.node): r.value for r in inc} == want
+
+
+def test_stage_files(spark, tmp_path):
+    edges = [(u, v, w) for u, v, w in random_edges(40, 300)]
+    p = library_defaults(epsilon=0.75, beta_constant=1.0, reweight="inverse")
+    n = 42  # two nodes without edges
+    ST.write_stages(graph(spark, edges), n, p, f"file://{tmp_path}")
+    got = ST.read_stages(spark, f"file://{tmp_path}")
+    tables = {name: np.zeros((300 if name == "incidence" else n, n if name in ("laplacian", "incidence") else p.jl_dim(n))) for name in ("laplacian", "incidence", "sketch", "solution")}
+    for name, a in tables.items():
+        for r in got[name].collect():
+            a[r.row, r.col] = r.value
+    lap = dense(edges, n)
+    assert np.allclose(tables["laplacian"], lap) and np.allclose(tables["incidence"].T @ tables["incidence"], lap)
+    assert np.allclose(lap @ tables["solution"], tables["sketch"], atol=1e-6) and not tables["solution"][40:].any()
+    kept = {(r.u, r.v) for r in got["edges"].collect() if r.kept}
+    assert kept == {(r.u, r.v) for r in sparsify(graph(spark, edges), n, p).edges.collect()} and 0 < len(kept) < len(edges)
+
+
+def test_cut_change(spark):
+    sides = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "node long, side int")
+    a, b = graph(spark, [(0, 1, 2), (1, 2, 3), (0, 2, 9)]), graph(spark, [(0, 1, 4)])
+    assert tuple(V.cut_change(a, b, sides).first()) == (10.0, 8.0, 0.8)
+    assert tuple(V.cut_change(graph(spark, [(0, 2, 1)]), graph(spark, []), sides).first()) == (0.0, 0.0, None)
