@@ -67,14 +67,18 @@ def forms(edges: DataFrame, probes: int, seed: int, flavour: str = "xx") -> Data
     return edges.select("u", "v", "w").mapInArrow(work, "probe int, value double").groupBy("probe").agg(F.sum("value").alias("value"))
 
 
-def probe_errors(original: DataFrame, sparse: DataFrame, probes: int, seed: int, flavour: str = "xx") -> DataFrame:
-    """(probe, before, after, error)."""
-    a = forms(original, probes, seed, flavour).withColumnRenamed("value", "before")
-    b = forms(sparse, probes, seed, flavour).withColumnRenamed("value", "after")
+def form_errors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(probe, before, after, error) of two tables of forms."""
+    a, b = before.withColumnRenamed("value", "before"), after.withColumnRenamed("value", "after")
     both = a.join(b, "probe", "left").withColumn("after", F.coalesce("after", F.lit(0.0)))
     return both.withColumn("error", F.abs(F.col("after") - F.col("before")) / F.col("before"))
 
 
+def probe_errors(original: DataFrame, sparse: DataFrame, probes: int, seed: int, flavour: str = "xx") -> DataFrame:
+    """(probe, before, after, error)."""
+    return form_errors(forms(original, probes, seed, flavour), forms(sparse, probes, seed, flavour))
+
+
 def probe_summary(errors: DataFrame, epsilon: float) -> DataFrame:
     """Violations (bounds included), mean, population deviation and maximum of the errors."""
     return errors.agg(

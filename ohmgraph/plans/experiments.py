@@ -20,13 +20,19 @@ SKETCHES = ("uniform", "discrete")
 _BASE = Params(jl_factor=4.0, sketch_seed=0, sampling_seed=0)
 
 
-def run_point(name: str, edges: DataFrame, n: int, p: Params, probes: int = 100, **extra) -> tuple[Row, DataFrame]:
-    """(result row, kept edges)."""
+def known(edges: DataFrame, n: int, probes: int) -> tuple[DataFrame, int]:
+    """What all points of a grid compare with: the forms of its graph's probes, and the number of its components."""
+    return materialize(V.forms(edges, probes, seed=0)), V.count_components(edges, n)
+
+
+def run_point(name: str, edges: DataFrame, n: int, p: Params, probes: int = 100, original: tuple[DataFrame, int] | None = None, **extra) -> tuple[Row, DataFrame]:
+    """(result row, kept edges). original: what is known of edges, found here where it is not given."""
     timer = Timer(active=True)
     out = sparsify(edges, n, p, timer)
     kept = materialize(out.edges)
-    checks = V.probe_summary(V.probe_errors(edges, kept, probes, seed=0), p.epsilon).first()
-    same = V.count_components(edges, n) == V.count_components(kept, n)
+    before, parts = original or known(edges, n, probes)
+    checks = V.probe_summary(V.form_errors(before, V.forms(kept, probes, seed=0)), p.epsilon).first()
+    same = parts == V.count_components(kept, n)
     stats = out.stats.first()
     times = {f"{x}_time": timer.seconds[x] for x in STAGES}
     row = Row(dataset=name, epsilon=p.epsilon, sketch_type=p.sketch, **extra, **times, cc_success=same, **checks.asDict(), sparsification_rate=stats["sparsification_rate"])
@@ -61,9 +67,10 @@ def space_grid() -> Iterator[tuple[Params, dict]]:
 def run_grid(spark: SparkSession, name: str, edges: DataFrame, n: int, grid: Iterable[tuple[Params, dict]], probes: int = 100, results: str | None = None, laplacians: str | None = None) -> DataFrame:
     """All points of a grid; results appends rows to a table, laplacians writes each result's matrix to a folder."""
     held = materialize(ready(edges, _BASE))
+    original = known(held, n, probes)
     rows = []
     for i, (p, extra) in enumerate(grid):
-        row, kept = run_point(name, held, n, p, probes, **extra)
+        row, kept = run_point(name, held, n, p, probes, original=original, **extra)
         rows.append(row)
         if results:
             append_result(spark.createDataFrame([row]), results)

@@ -12,6 +12,7 @@ from ohmgraph.operators import leverage, sketch, solver
 from ohmgraph.operators import verify as V
 from ohmgraph.operators.components import components, forest
 from ohmgraph.params import library_defaults
+from ohmgraph.plans import experiments as X
 
 from .test_engine import dense, graph, random_edges
 
@@ -115,3 +116,18 @@ def test_forms_are_those_of_columns(spark):
         at = {(r.probe, r.node): r.x for r in x}
         for i in range(3):
             assert abs(got[i] - sum(w * (at[i, u] - at[i, v]) ** 2 for u, v, w in islands())) < 1e-9
+
+
+def test_a_grid_checks_its_graph_once(spark, monkeypatch):
+    seen = []
+    count, forms = V.count_components, V.forms
+    monkeypatch.setattr(V, "count_components", lambda e, n=None: seen.append("components") or count(e, n))
+    monkeypatch.setattr(V, "forms", lambda *a, **kw: seen.append("forms") or forms(*a, **kw))
+    p = library_defaults()
+    rows = X.run_grid(spark, "g", graph(spark, islands()), 82, [(p, {}), (p, {})], probes=5).collect()
+    assert len(rows) == 2 and seen.count("forms") == seen.count("components") == 3
+    alone, _ = X.run_point("g", graph(spark, islands()), 82, p, probes=5)
+    skip = {f"{s}_time" for s in X.STAGES}
+    want = {k: v for k, v in alone.asDict().items() if k not in skip}
+    for r in rows:
+        assert {k: pytest.approx(v) for k, v in r.asDict().items() if k not in skip} == want
