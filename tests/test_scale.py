@@ -131,3 +131,13 @@ def test_a_grid_checks_its_graph_once(spark, monkeypatch):
     want = {k: v for k, v in alone.asDict().items() if k not in skip}
     for r in rows:
         assert {k: pytest.approx(v) for k, v in r.asDict().items() if k not in skip} == want
+
+
+def test_residuals_of_wrong_solutions(spark, monkeypatch):
+    df = graph(spark, islands()).cache()
+    y = sketch.wide(df, library_defaults(), 3).cache()
+    x = y.select("node", F.transform("y", lambda t: t * 0.3).alias("x")).cache()
+    got = solver.residuals(df, x, y, 3)
+    monkeypatch.setattr(solver, "HELD", 0)
+    assert np.allclose(got, solver.residuals(df, x, y, 3)) and (got > 0.1).all()
+    assert solver.residuals(df, x.withColumn("x", F.transform("x", lambda t: t * 0)), y, 3).max() == pytest.approx(1.0)
