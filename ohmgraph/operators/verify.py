@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import hashing as H
 from . import graph as G
-from .components import components, forest, materialize
+from .components import components, forest, labels, materialize
 
 
 #: Links whose components are found on the driver, counted first: 16 MB of endpoints.
@@ -35,7 +35,13 @@ def count_components(edges: DataFrame, n: int | None = None) -> int:
     if n is None:
         top = edges.agg(F.max("v")).first()[0]
         n = 0 if top is None else int(top) + 1
-    touched = components(materialize(forest(edges)), at_once=AT_ONCE).agg(F.count(F.lit(1)), F.countDistinct("component")).first()
+    links = materialize(forest(edges))
+    some = links.limit(AT_ONCE + 1).toArrow()
+    if some.num_rows <= AT_ONCE:
+        u, v = (A.column(some, c) for c in ("u", "v"))
+        nodes, flat = np.unique(np.concatenate((u, v)), return_inverse=True)
+        return n - len(nodes) + len(np.unique(labels(len(nodes), flat[: len(u)], flat[len(u) :])))
+    touched = components(links).agg(F.count(F.lit(1)), F.countDistinct("component")).first()
     return n - touched[0] + touched[1]
 
 

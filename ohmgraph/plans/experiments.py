@@ -14,7 +14,7 @@ from ..operators.components import materialize
 from ..params import Params, library_defaults
 from ..sources import matrix_market as MM
 from ..sources.text import append_result
-from .sparsify import STAGES, Timer, ready, sparsify
+from .sparsify import STAGES, Result, Timer, decided, rated, ready, sparsify
 
 SKETCHES = ("uniform", "discrete")
 _BASE = Params(jl_factor=4.0, sketch_seed=0, sampling_seed=0)
@@ -25,11 +25,42 @@ def known(edges: DataFrame, n: int, probes: int) -> tuple[DataFrame, int]:
     return materialize(V.forms(edges, probes, seed=0)), V.count_components(edges, n)
 
 
-def run_point(name: str, edges: DataFrame, n: int, p: Params, probes: int = 100, original: tuple[DataFrame, int] | None = None, **extra) -> tuple[Row, DataFrame]:
-    """(result row, kept edges). original: what is known of edges, found here where it is not given."""
+class Shared:
+    """Distances of a grid's edges, found once for the points whose sketches are the same up to their scaling.
+
+    Sketch and solution are proportional to the scaling. They are made for the greatest one of the grid, so that no point's
+    residuals are above the solver's bounds, and each point takes its share of the distances. The times of a row's stages
+    before the new weights are those of the stages that its point shares."""
+
+    def __init__(self, edges: DataFrame, n: int, points: Iterable[Params], forming: float):
+        self.edges, self.n, self.forming = edges, n, forming
+        self.most: dict[Params, Params] = {}
+        for p in points:
+            old = self.most.get(self.kind(p), p)
+            self.most[self.kind(p)] = p if abs(p.jl_scaling) > abs(old.jl_scaling) else old
+        self.found: dict[Params, tuple[DataFrame, dict[str, float]]] = {}
+
+    def kind(self, p: Params) -> Params:
+        """All that sketch and solution depend on but for the scaling; the factor as the number of columns."""
+        return Params(jl_factor=p.jl_dim(self.n), sketch=p.sketch, sketch_seed=p.sketch_seed, hash_flavour=p.hash_flavour, strategy=p.strategy)
+
+    def sparsify(self, p: Params, timer: Timer) -> Result:
+        most = self.most[self.kind(p)]
+        if self.kind(p) not in self.found:
+            own = Timer(active=True, seconds={"evim": self.forming})
+            self.found[self.kind(p)] = rated(self.edges, self.n, most, own), own.seconds
+        found, seconds = self.found[self.kind(p)]
+        timer.seconds |= seconds
+        if p.jl_scaling != most.jl_scaling and p.sketch != "gaussian":  # whose entries are not scaled
+            found = found.withColumn("d", F.col("d") * F.lit(abs(p.jl_scaling / most.jl_scaling)))
+        return decided(found, self.n, p, timer)
+
+
+def run_point(name: str, edges: DataFrame, n: int, p: Params, probes: int = 100, original: tuple[DataFrame, int] | None = None, shared: Shared | None = None, **extra) -> tuple[Row, DataFrame]:
+    """(result row, kept edges). original: what is known of edges, found here where it is not given; shared: of a grid."""
     timer = Timer(active=True)
-    out = sparsify(edges, n, p, timer)
-    kept = materialize(out.edges)
+    out = shared.sparsify(p, timer) if shared else sparsify(edges, n, p, timer)
+    kept = out.edges  # of a table
     before, parts = original or known(edges, n, probes)
     checks = V.probe_summary(V.form_errors(before, V.forms(kept, probes, seed=0)), p.epsilon).first()
     same = parts == V.count_components(kept, n)
@@ -66,11 +97,14 @@ def space_grid() -> Iterator[tuple[Params, dict]]:
 
 def run_grid(spark: SparkSession, name: str, edges: DataFrame, n: int, grid: Iterable[tuple[Params, dict]], probes: int = 100, results: str | None = None, laplacians: str | None = None) -> DataFrame:
     """All points of a grid; results appends rows to a table, laplacians writes each result's matrix to a folder."""
-    held = materialize(ready(edges, _BASE))
+    raw, timer, points = materialize(edges), Timer(active=True), list(grid)
+    with timer.stage("evim"):
+        held = materialize(ready(raw, _BASE))
     original = known(held, n, probes)
+    shared = Shared(held, n, [p for p, _ in points], timer.seconds["evim"])
     rows = []
-    for i, (p, extra) in enumerate(grid):
-        row, kept = run_point(name, held, n, p, probes, original=original, **extra)
+    for i, (p, extra) in enumerate(points):
+        row, kept = run_point(name, held, n, p, probes, original=original, shared=shared, **extra)
         rows.append(row)
         if results:
             append_result(spark.createDataFrame([row]), results)

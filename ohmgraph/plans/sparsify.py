@@ -76,16 +76,25 @@ def sparsify(edges: DataFrame, n: int, p: Params, timer: Timer | None = None) ->
     timer = timer or Timer()
     with timer.stage("evim"):
         held = materialize(ready(edges, p))
+    return decided(rated(held, n, p, timer), n, p, timer)
+
+
+def rated(held: DataFrame, n: int, p: Params, timer: Timer) -> DataFrame:
+    """Edges that are ready with d, the distance of their endpoints: sketch, solve and distances."""
     k = p.jl_dim(n)
     with timer.stage("jl"):
         y = timer.held(sketch.wide(held, p, k))
     with timer.stage("solve"):
         x = timer.held(solver.solve(held, y, k, p.strategy))
     with timer.stage("diff_norm"):
-        rated = timer.held(leverage.diff_norms(held, x))
+        return timer.held(leverage.diff_norms(held, x))
+
+
+def decided(found: DataFrame, n: int, p: Params, timer: Timer) -> Result:
+    """What is kept of edges with d."""
     with timer.stage("reweight"):
-        decided = timer.held(sample.decide(leverage.probabilities(rated, p.beta(n), k), p.sampling_seed, p.reweight, p.hash_flavour))
-    return Result(decided, n, p, timer)
+        chosen = timer.held(sample.decide(leverage.probabilities(found, p.beta(n), p.jl_dim(n)), p.sampling_seed, p.reweight, p.hash_flavour))
+    return Result(chosen, n, p, timer)
 
 
 def sparsify_dataset(spark: SparkSession, path: str, epsilon: float = 0.5, output: str | None = None, params: Params | None = None, timer: Timer | None = None) -> Result:

@@ -141,3 +141,35 @@ def test_residuals_of_wrong_solutions(spark, monkeypatch):
     monkeypatch.setattr(solver, "HELD", 0)
     assert np.allclose(got, solver.residuals(df, x, y, 3)) and (got > 0.1).all()
     assert solver.residuals(df, x.withColumn("x", F.transform("x", lambda t: t * 0)), y, 3).max() == pytest.approx(1.0)
+
+
+def test_points_that_differ_in_scaling_share_a_solve(spark, monkeypatch):
+    df = graph(spark, islands()).cache()
+    solved, solve = [], solver.solve
+    monkeypatch.setattr(solver, "solve", lambda edges, y, k, *a, **kw: solved.append(k) or solve(edges, y, k, *a, **kw))
+    points = list(X.jl_scaling_grid(82))
+    rows = X.run_grid(spark, "g", df, 82, points, probes=5).collect()
+    assert len(solved) == 2 and len(rows) == len(points)
+    skip = {f"{s}_time" for s in X.STAGES}
+    assert all(r[s] > 0 for r in rows for s in skip)
+    p, extra = points[2]
+    alone = X.run_point("g", df, 82, p, probes=5, **extra)[0].asDict()
+    assert {k: pytest.approx(v) for k, v in rows[2].asDict().items() if k not in skip} == {k: v for k, v in alone.items() if k not in skip}
+    assert [len(X.Shared(df, 82, [p for p, _ in grid], 0.0).most) for grid in (X.basic_grid(), X.jl_dim_grid(82))] == [2, 6]
+
+
+def test_every_scaling_gives_the_edges_of_a_run_alone(spark):
+    df = graph(spark, islands()).cache()
+    for kind in ("uniform", "discrete", "gaussian"):
+        points = [library_defaults(sketch=kind, jl_scaling=x, beta_constant=0.3) for x in (0.2, 1.7, -0.9, 0.0)]
+        shared = X.Shared(df, 82, points, 0.0)
+        for p in points:
+            got, want = (sorted(tuple(r) for r in x.edges.collect()) for x in (shared.sparsify(p, X.Timer(active=True)), X.sparsify(df, 82, p)))
+            assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=0)
+
+
+@pytest.mark.parametrize("at_once", [V.AT_ONCE, 20, 0])
+def test_components_counted_on_the_driver_or_not(spark, monkeypatch, at_once):
+    monkeypatch.setattr(V, "AT_ONCE", at_once)
+    assert V.count_components(graph(spark, islands()), 90) == 4 + 90 - 57
+    assert V.count_components(graph(spark, []), 7) == 7
