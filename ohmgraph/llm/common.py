@@ -30,6 +30,20 @@ def keyed(documents: DataFrame) -> DataFrame:
     return rows.select("doc", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("t"), "text")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """materialize(df), whose shuffle files are removed then; else they stay until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def free_name(*taken: list[str], stem: str = "own") -> str:
     """A column name that none of the lists has, whatever their case."""
     used = {x.lower() for names in taken for x in names}

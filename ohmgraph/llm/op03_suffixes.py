@@ -261,7 +261,7 @@ def _compare(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, t, s, e): byte ranges covered by strings of this length that start earlier too. docs: (doc, t, text)."""
-    seen = C.materialize(R.judged(docs, length, gram, words=False, across=False, decide=_decide(length)))
+    seen = C.written(R.judged(docs, length, gram, words=False, across=False, decide=_decide(length)))
     todo = R.with_text(docs, seen.where("n is not null").select("doc", "t", "s", "n", "k", "hot"), "todo", "inner")
     sent = todo.mapInArrow(_stretches(length), _TODO)
     # single windows of hot anchors: those that meet no other can't repeat, the others are judged in lots, with the first

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -137,3 +138,17 @@ def test_suffix_array_order():
     for depth in (1, 9, 20):
         rough = [suffix[i][:depth] for i in op3.suffix_array(s, left, op3._packed(s, left), depth)]
         assert rough == sorted(rough)
+
+
+def test_shuffle_files_of_runs_go_once_their_table_is_written(spark):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    passage = "".join(hashlib.md5(bytes([i])).hexdigest() for i in range(5))
+    docs = spark.createDataFrame([(i, 0, f"{i * 7919} {passage} {i * 104729}") for i in range(40)], "doc long, t long, text string")
+    before, was = files(), spark.conf.get(key)
+    spans = op3.repeated_spans(docs)  # writes the runs
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key) == was
+    assert {r.doc for r in spans.collect()} == set(range(1, 40))
