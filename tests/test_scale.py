@@ -173,3 +173,17 @@ def test_components_counted_on_the_driver_or_not(spark, monkeypatch, at_once):
     monkeypatch.setattr(V, "AT_ONCE", at_once)
     assert V.count_components(graph(spark, islands()), 90) == 4 + 90 - 57
     assert V.count_components(graph(spark, []), 7) == 7
+
+
+def test_solves_of_a_grid_find_its_components_once(spark, monkeypatch):
+    df = graph(spark, islands()).cache()
+    found, owners = [], solver._owners
+    monkeypatch.setattr(solver, "COLUMN_EDGES", 10)
+    monkeypatch.setattr(solver, "_owners", lambda edges: found.append(edges) or owners(edges))
+    points = [library_defaults(jl_factor=x, beta_constant=0.3) for x in (0.5, 1.0, 2.0)]
+    shared = X.Shared(df, 82, points, 0.0)
+    got = [sorted(tuple(r) for r in shared.sparsify(p, X.Timer(active=True)).edges.collect()) for p in points]
+    assert len(found) == 1
+    for p, rows in zip(points, got, strict=True):
+        want = sorted(tuple(r) for r in X.sparsify(df, 82, p).edges.collect())
+        assert [r[:2] for r in rows] == [r[:2] for r in want] and np.allclose([r[2] for r in rows], [r[2] for r in want], atol=0)
